@@ -44,6 +44,18 @@ def buckets(df: DataFrame, each_mb: int = 16) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (each_mb << 20)))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def runs(batches: Iterator[pa.RecordBatch], same: list[str], most_bytes: int = 32 << 20) -> Iterator[pa.Table]:
     """Tables of whole groups from batches that are sorted by the columns ``same``; a table ends only where a group does."""
     held: list[pa.RecordBatch] = []
