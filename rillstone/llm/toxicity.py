@@ -38,7 +38,7 @@ THRESHOLD = 0.9
 #: At most so many labelled documents are learned from.
 LABEL_ROWS = 20_000
 #: A learned stem stands in at least this share of the toxic sample (and in three documents), mostly in new surroundings, and mostly in toxic ones.
-SUPPORT, FRESH, PRECISION = 0.005, 0.5, 0.5
+SUPPORT, FRESH, PRECISION, CONFIDENCE = 0.005, 0.5, 0.4, 3.0
 STEMS = (4, 5, 6, 8)
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, WORD = range(7)
@@ -205,13 +205,35 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LABEL_ROWS) -> Lexicon
         return Lexicon()
     stems = set(n_toxic)
     n_clean = {r["stem"]: r["docs"] for r in clean.mapInArrow(lambda it: _clean_counts(it, stems), "stem string, docs long").groupBy("stem").agg(F.sum("docs").alias("docs")).collect()}
-    weights = {s: (n + 0.5) / (n + n_clean.get(s, 0) + 1) for s, n in n_toxic.items()}
+    return Lexicon(select(n_toxic, n_clean))
+
+
+def select(n_toxic: dict[str, int], n_clean: dict[str, int]) -> dict[str, float]:
+    """Stems and weights from the numbers of toxic and clean documents that have them.
+
+    A stem is taken if the share of toxic ones is surely (at CONFIDENCE standard
+    deviations) over PRECISION; one that a longer stem stands for nearly
+    everywhere gives way to it, and one that adds nothing to a shorter is left out.
+    """
+    good = {}
+    for s, n in n_toxic.items():
+        size = n + n_clean.get(s, 0)
+        p, z = n / size, CONFIDENCE
+        if (p + z * z / (2 * size) - z * (p * (1 - p) / size + z * z / (4 * size * size)) ** 0.5) / (1 + z * z / size) >= PRECISION:
+            good[s] = (n + 0.5) / (size + 1)
+    longest: dict[str, int] = {}
+    for s in good:
+        for n in STEMS:
+            if len(s) > n:
+                longest[s[:n]] = max(longest.get(s[:n], 0), n_toxic[s])
     kept: dict[str, float] = {}
-    for s in sorted(weights, key=lambda x: (len(x), x)):
+    for s in sorted(good, key=lambda x: (len(x), x)):
+        if longest.get(s, 0) >= 0.9 * n_toxic[s]:
+            continue
         shorter = next((kept[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in kept), 0.0)
-        if weights[s] >= PRECISION and (not shorter or abs(weights[s] - shorter) > 0.02):
-            kept[s] = weights[s]
-    return Lexicon(kept)
+        if not shorter or abs(good[s] - shorter) > 0.02:
+            kept[s] = good[s]
+    return kept
 
 
 def _score(batches: Iterator[pa.RecordBatch], learned: dict[str, float], threshold: float) -> Iterator[pa.RecordBatch]:
