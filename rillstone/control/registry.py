@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from rillstone.schemas import ddl
+
 
 @dataclass
 class Feature:
@@ -33,7 +35,7 @@ class FeatureRegistry:
 
     def register(self, name: str, type: str, rules: dict | None = None, description: str = "") -> Feature:
         """A new version, or the last one if nothing differs."""
-        StructType.fromDDL(f"x {type}")
+        ddl(f"x {type}")
         versions = self.features.setdefault(name, [])
         new = Feature(name, type, len(versions) + 1, rules or {}, description)
         if versions and (versions[-1].type, versions[-1].rules) == (new.type, new.rules):
@@ -71,7 +73,7 @@ class FeatureRegistry:
         names = names or [n for n in self.features]
         rows, aggs = [], []
         for i, n in enumerate(names):
-            want = StructType.fromDDL(f"x {self.get(n).type}")["x"].dataType
+            want = ddl(f"x {self.get(n).type}")["x"].dataType
             have = df.schema[n].dataType if n in df.columns else None
             ok = have is not None and have.simpleString() == want.simpleString()
             rules = self.conditions(n) if have is not None else {}

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-SCHEMA = StructType.fromDDL("date STRING, hour INT, status STRING, processed_at TIMESTAMP, metadata STRING")
+from rillstone.schemas import ddl
+
+SCHEMA = ddl("date STRING, hour INT, status STRING, processed_at TIMESTAMP, metadata STRING")
 
 
 class PartitionTracker:

@@ -11,7 +11,7 @@ STRATEGIES = ("key", "composite", "exact", "window")
 def _keep(df: DataFrame, keys: list[Column], time: str, keep: str) -> DataFrame:
     if keep not in ("latest", "earliest", "first"):
         raise ValueError(keep)
-    rest = [F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).asc()]
+    rest = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields if f.name != time]  # maps have no order
     order = [F.col(time).desc_nulls_last() if keep == "latest" else F.col(time).asc_nulls_last(), *rest]
     rank = "__rank"
     while rank in df.columns:

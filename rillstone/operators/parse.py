@@ -8,6 +8,7 @@ from pyspark.sql.types import ArrayType, DataType, DateType, MapType, NumericTyp
 
 from rillstone import schemas
 from rillstone.functions import text
+from rillstone.schemas import ddl
 
 CORRUPT = "_corrupt_record"
 
@@ -88,7 +89,7 @@ def cast_columns(df: DataFrame, types: dict[str, str | DataType]) -> DataFrame:
     made = {}
     for name, kind in types.items():
         if name in df.columns:
-            target = StructType.fromDDL(f"x {kind}")["x"].dataType if isinstance(kind, str) else kind
+            target = ddl(f"x {kind}")["x"].dataType if isinstance(kind, str) else kind
             made[name] = safe_cast(F.col(f"`{name}`"), df.schema[name].dataType, target)
     return df.withColumns(made) if made else df
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from rillstone.plans import clean_queries, feature_queries  # noqa: F401  they register themselves
+from rillstone.plans.base import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -6,9 +6,59 @@ touches Spark's session.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
-from pyspark.sql.types import ArrayType, DataType, MapType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, DateType, DoubleType, FloatType, IntegerType, LongType, MapType, StringType, StructField, StructType, TimestampType
+
+_SCALARS = {"string": StringType, "bigint": LongType, "long": LongType, "int": IntegerType, "double": DoubleType, "float": FloatType, "boolean": BooleanType, "date": DateType, "timestamp": TimestampType, "binary": BinaryType}
+
+
+def ddl(text: str) -> StructType:
+    """A schema from DDL, read without a session: scalars, STRUCT, MAP, ARRAY and NOT NULL."""
+    tokens = re.findall(r"`[^`]*`|\w+|[<>,:]", text)
+    at = 0
+
+    def take() -> str:
+        nonlocal at
+        at += 1
+        return tokens[at - 1]
+
+    def kind() -> DataType:
+        name = take().lower()
+        if name not in ("struct", "map", "array"):
+            if name not in _SCALARS:
+                raise ValueError(f"no such type: {name}")
+            return _SCALARS[name]()
+        take()
+        if name == "struct":
+            out: DataType = fields(">")
+        elif name == "array":
+            out = ArrayType(kind())
+        else:
+            key = kind()
+            take()
+            out = MapType(key, kind())
+        take()
+        return out
+
+    def fields(end: str | None) -> StructType:
+        nonlocal at
+        out = []
+        while at < len(tokens) and tokens[at] != end:
+            name = take().strip("`")
+            if tokens[at] == ":":
+                at += 1
+            typed = kind()
+            nullable = tokens[at : at + 1] == [] or tokens[at].lower() != "not"
+            at += 0 if nullable else 2
+            out.append(StructField(name, typed, nullable))
+            if at < len(tokens) and tokens[at] == ",":
+                at += 1
+        return StructType(out)
+
+    return fields(None)
+
 
 DEVICE = "type STRING, os STRING, browser STRING, device_id STRING, screen_resolution STRING, battery_level INT"
 CONTENT = "content_id STRING, title STRING, content_type STRING, season INT, episode INT, duration_seconds BIGINT, genre STRING, release_year INT"
@@ -17,18 +67,14 @@ METADATA = "ip_address STRING, user_agent STRING, country STRING, timezone STRIN
 REQUEST = "http_method STRING, request_id STRING, server_timestamp BIGINT"
 
 #: What a producer sends, as JSON.
-RAW = StructType.fromDDL(
+RAW = ddl(
     "event_id STRING, event_type STRING, timestamp BIGINT, timestamp_iso STRING, user_id STRING, session_id STRING, "
-    f"device STRUCT<{DEVICE.replace(' STRING', ': STRING').replace(' INT', ': INT')}>, "
-    f"content STRUCT<{CONTENT.replace(' STRING', ': STRING').replace(' INT', ': INT').replace(' BIGINT', ': BIGINT')}>, "
-    f"context STRUCT<{CONTEXT.replace(' STRING', ': STRING').replace(' INT', ': INT').replace(' BOOLEAN', ': BOOLEAN')}>, "
-    f"metadata STRUCT<{METADATA.replace(' STRING', ': STRING')}>, "
-    f"raw_data STRUCT<{REQUEST.replace(' STRING', ': STRING').replace(' BIGINT', ': BIGINT')}>"
+    f"device STRUCT<{DEVICE}>, content STRUCT<{CONTENT}>, context STRUCT<{CONTEXT}>, metadata STRUCT<{METADATA}>, raw_data STRUCT<{REQUEST}>"
 )
 
-KAFKA = StructType.fromDDL("key BINARY, value BINARY, topic STRING, partition INT, offset BIGINT, timestamp TIMESTAMP, timestampType INT")
+KAFKA = ddl("key BINARY, value BINARY, topic STRING, partition INT, offset BIGINT, timestamp TIMESTAMP, timestampType INT")
 
-BRONZE = StructType.fromDDL(
+BRONZE = ddl(
     "event_id STRING, event_type STRING, timestamp_ms BIGINT, timestamp_iso STRING, user_id STRING, session_id STRING, "
     "event_data STRUCT<action: STRING, target_id: STRING, target_type: STRING, metadata: MAP<STRING, STRING>>, "
     "video_data STRUCT<video_id: STRING, title: STRING, duration_seconds: BIGINT, play_position_seconds: BIGINT, quality: STRING>, "
@@ -37,7 +83,7 @@ BRONZE = StructType.fromDDL(
     "source_offset: BIGINT, validation_status: STRING, pii_scrubbed: BOOLEAN, deduplication_key: STRING>"
 )
 
-SILVER = StructType.fromDDL(
+SILVER = ddl(
     "event_id STRING NOT NULL, event_type STRING NOT NULL, event_timestamp TIMESTAMP NOT NULL, event_date DATE NOT NULL, event_hour INT NOT NULL, "
     "user_id STRING, user_segment STRING, session_id STRING, action STRING, target_id STRING, target_type STRING, video_id STRING, video_title STRING, "
     "video_duration_seconds BIGINT, play_position_seconds BIGINT, video_quality STRING, video_category STRING, device_type STRING, os STRING, browser STRING, "
@@ -47,9 +93,9 @@ SILVER = StructType.fromDDL(
 )
 
 LOOKUPS = {
-    "user_segments": StructType.fromDDL("user_id STRING, user_segment STRING"),
-    "video_catalog": StructType.fromDDL("video_id STRING, video_category STRING"),
-    "geo_ip": StructType.fromDDL("ip_address STRING, country STRING, region STRING, timezone STRING"),
+    "user_segments": ddl("user_id STRING, user_segment STRING"),
+    "video_catalog": ddl("video_id STRING, video_category STRING"),
+    "geo_ip": ddl("ip_address STRING, country STRING, region STRING, timezone STRING"),
 }
 
 LOWERCASE = ("event_type", "action", "target_type", "device_type", "os", "browser", "video_quality", "video_category", "user_segment")
@@ -134,4 +180,4 @@ def from_avro(record: dict) -> StructType:
     for f in record["fields"]:
         kind, nullable = _avro_type(f["type"])
         parts.append(f"`{f['name']}` {kind}" + ("" if nullable else " NOT NULL"))
-    return StructType.fromDDL(", ".join(parts))
+    return ddl(", ".join(parts))
