@@ -115,7 +115,7 @@ def _lines(text: Column) -> Column:
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
     """(doc_id, text_hash, gone): the numbers, from 0, of the lines to delete from each document."""
     text = F.col("text").cast("string")
-    trimmed = F.transform(_lines(text), F.trim)
+    trimmed = F.transform(_lines(text), lambda x: F.trim(x))
     per = docs.where(F.col("doc_id").isNotNull() & text.isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64(text).alias("text_hash"),
