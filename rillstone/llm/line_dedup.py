@@ -5,7 +5,8 @@ documents hold links each of them to the first document that holds it, so a
 line in a million documents makes a million pairs, not its square, and all
 repeats of it are still covered. The two documents of a pair are aligned by
 patience diff on their lines' hashes; runs of lines that are common to both in
-order, of at least MIN_WORDS words, are deleted from the later one.
+order, of at least MIN_WORDS words, are deleted from the later one; what is left is
+aligned again, for blocks that moved.
 
 Only hashes move until the end: one row per document with its lines' hashes and
 lengths. The texts are joined with the deletions once.
@@ -86,8 +87,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int) -> list[int]:
-    """Numbers of the lines of b in blocks that are common with a, in one piece in both, and of at least min_words words."""
+def _blocks(a: list, b: list, words: list[int], min_words: int) -> list[int]:
     out: list[int] = []
     block: list[int] = []
     last = (-2, -2)
@@ -101,6 +101,21 @@ def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int)
     return out
 
 
+def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int) -> list[int]:
+    """Numbers of the lines of b in blocks that are common with a, in one piece in both, and of at least min_words words.
+
+    What is left of b is aligned again until nothing is found, so blocks that
+    stand in another order, or twice in b, are found too.
+    """
+    left: list = list(b)
+    out: list[int] = []
+    while found := _blocks(a, left, words, min_words):
+        for j in found:
+            left[j] = ("deleted", j)  # equals no line of a
+        out += found
+    return sorted(out)
+
+
 def _align(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cols = {c: batch[c].to_pylist() for c in ("first_lines", "lines", "words")}
