@@ -36,12 +36,15 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def buckets(df: DataFrame, each_mb: int = 16) -> int:
-    """How many parts a shuffle of df's size needs so that one fits a task: by the plan's size, at least shuffle.partitions."""
+def buckets(df: DataFrame, each_mb: int = 32, most: int = 1 << 20) -> int:
+    """How many parts a shuffle of df's size needs so that one fits a task: by the plan's size, at least shuffle.partitions.
+
+    Spark says exabytes where it doesn't know; from a petabyte on its word isn't taken.
+    """
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    size = 0 if size >= 1 << 60 else size
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (each_mb << 20)))
+    size = 0 if size >= 1 << 50 else size
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(most, -(-size // (each_mb << 20))))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
