@@ -152,8 +152,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, cell: int = CELL, islands: i
     by_cell = part.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("n_tokens", "doc_id", "piece", "first_token"))).alias("items"))
     by_cell = cut(by_cell, "cells")
     to_bytes = by_cell.mapInArrow(_lengths, "cell long, blob binary")
-    state = to_bytes.crossJoin(docs.sparkSession.range(islands).select(F.col("id").cast("int").alias("island"))).select("cell", "island", F.lit("items").alias("role"), "blob")
+    state = to_bytes.select("cell", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.lit("items").alias("role"), "blob")
+    tasks = max(1, min(cells * islands, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), cells * islands // 8)))
     for epoch in range(epochs):
+        # a cell's rows are few bytes but much work: left to itself, adaptive execution would put all cells into one task
+        state = state.repartition(tasks, "cell", "island")
         state = state.groupBy("cell", "island").applyInArrow(_stepper(capacity, epoch, islands, generations, population), _STATE)
         state = cut(state, "islands")
     best = state.groupBy("cell").applyInArrow(lambda t: _best(t, capacity), "cell long, packs array<int>")
