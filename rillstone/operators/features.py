@@ -141,7 +141,7 @@ def sessionize(df: DataFrame, ev: Events = Events(), gap: str = "30 minutes", na
     name = name or ev.session
     by = Window.partitionBy(ev.entity).orderBy(ev.time, tie)
     before = F.lag(ev.time).over(by)
-    fresh = F.when(before.isNull() | (F.col(ev.time) > before + F.expr(f"INTERVAL {gap}")), 1).otherwise(0)
+    fresh = F.when(F.col(ev.time).isNotNull() & (before.isNull() | (F.col(ev.time) > before + F.expr(f"INTERVAL {gap}"))), 1).otherwise(0)
     number = F.sum("__new").over(by.rowsBetween(Window.unboundedPreceding, 0))
     known = F.col(ev.entity).isNotNull() & F.col(ev.time).isNotNull()
     return df.withColumn("__new", fresh).withColumn(name, F.when(known, F.concat_ws("-", F.col(ev.entity).cast("string"), number.cast("string")))).drop("__new")
