@@ -8,7 +8,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -59,6 +61,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 8 << 20, most_rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about so many bytes of text, a longer text by itself: batches are cut by rows, but memory follows bytes."""
+    lengths = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(lengths, dtype=np.int64) // most_bytes + np.arange(batch.num_rows) // most_rows
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
 def runs(batches: Iterator[pa.RecordBatch], same: list[str], most_bytes: int = 32 << 20) -> Iterator[pa.Table]:
     """Tables of whole groups from batches that are sorted by the columns ``same``; a table ends only where a group does."""
     held: list[pa.RecordBatch] = []

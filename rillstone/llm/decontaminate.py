@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillstone.llm import _tokens as T
+from rillstone.llm._common import slices
 
 N, THRESHOLD = 4, 0.5
 RARE_SHARE, RARE_TIMES = 1e-4, 10
@@ -77,7 +78,7 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
 def _seed_counts(batches: Iterator[pa.RecordBatch], lookup: _Lookup, n: int) -> Iterator[pa.RecordBatch]:
     total = np.zeros(len(lookup.hashes), np.int64)
     rows = 0
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         hashes, _, _, offsets = T.words(T.column(batch["text"]))
         grams, offsets = T.ngrams(hashes, offsets, n)
         at, number = lookup.find(grams)
@@ -138,7 +139,7 @@ def _hits(batch: pa.RecordBatch, items: _Items, n: int, threshold: float) -> Ite
 
 
 def _find(batches: Iterator[pa.RecordBatch], items: _Items, n: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         found = list(_hits(batch, items, n, threshold))
         if found:
             ids = batch["doc_id"].take(pa.array([d for d, _ in found]))
@@ -146,7 +147,7 @@ def _find(batches: Iterator[pa.RecordBatch], items: _Items, n: int, threshold: f
 
 
 def _keep(batches: Iterator[pa.RecordBatch], items: _Items, n: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         keep = np.ones(batch.num_rows, bool)
         keep[[d for d, _ in _hits(batch, items, n, threshold)]] = False
         yield batch.filter(pa.array(keep))

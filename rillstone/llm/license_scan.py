@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillstone.llm import _tokens as T
+from rillstone.llm._common import slices
 
 #: Shortest run that counts, share of the template that a chain must cover, and the words that may lie between two runs.
 MIN_MATCH, COVERAGE, GAP = 3, 0.75, 12
@@ -182,7 +183,7 @@ class Scanner:
 
 
 def _scan(batches: Iterator[pa.RecordBatch], scanner: Scanner) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         rows = list(scanner.scan(batch["text"]))
         ids = batch["doc_id"].take(pa.array([r[0] for r in rows], pa.int64()))
         columns = [pa.array([r[k] for r in rows], t) for k, t in ((1, pa.string()), (2, pa.float64()), (3, pa.int64()), (4, pa.int64()))]
