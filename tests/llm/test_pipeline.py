@@ -5,6 +5,7 @@ import pytest
 import corpus_pipeline as C
 from rillstone.llm import decontaminate as D
 from rillstone.llm import line_dedup as L
+from rillstone.llm import ngram_join as J
 from rillstone.llm import packing as P
 from rillstone.llm import queries
 from rillstone.llm import toxicity as X
@@ -54,7 +55,7 @@ def test_run_matches_brute_force(spark, corpus):
     before = dict(docs)
     left = [(i, t) for i, t in left if not (i is not None and t is not None and t != before[i] and not t.strip())]
     assert 500 not in dict(left)
-    gone = {i for i, g in brute_groups(left, 3, 0.6) if i != g}
+    gone = {i for i, g in brute_groups(left, J.N, J.THRESHOLD) if i != g}
     left = [d for d in left if d[0] not in gone]
     assert gone
     leaked = {i for i, t in left if t for _, item in items if D.align(own := word_hashes(item), word_hashes(t))[0] >= D.THRESHOLD * D.MATCH * len(own)}
