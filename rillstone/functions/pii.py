@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+#: The same, but tried only where a name may begin: else a long word is tried from each of its letters.
+_EMAIL_START = r"(?<![A-Za-z0-9._%+-])"
 PHONE = r"\+?\d[\d\s().-]{7,}\d"
 IPV4 = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
 
@@ -39,7 +41,7 @@ def masked_id(c: Column) -> Column:
 
 def masked_text(c: Column) -> Column:
     """Running text with its e-mail addresses, IPv4 addresses and phone numbers masked."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, EMAIL, "[email]"), IPV4, "[ip]"), PHONE, "[phone]")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, _EMAIL_START + EMAIL, "[email]"), IPV4, "[ip]"), PHONE, "[phone]")
 
 
 def masked(name: str, c: Column) -> Column:

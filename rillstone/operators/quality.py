@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 POINTS = (0.25, 0.5, 0.75, 0.95)
 
 
-def profile(df: DataFrame, features: list[str]) -> DataFrame:
-    """(feature, n, present, mean, std, low, high, q25, q50, q75, q95): one pass; NaN counts as null."""
+def profile(df: DataFrame, features: list[str], exact: bool = False) -> DataFrame:
+    """(feature, n, present, mean, std, low, high, q25, q50, q75, q95): one pass; NaN counts as null.
+
+    Percentiles are of a sketch of bounded size, right to a rank in ten
+    thousand; exact ones hold a count of every distinct value in one task, so
+    they are for tables of moderate size.
+    """
+    points = F.array(*map(F.lit, POINTS))
     aggs = [F.count("*").alias("n")]
     for i, c in enumerate(features):
         x = F.col(f"`{c}`").cast("double")
         x = F.when(~F.isnan(x), x)
-        aggs.append(F.struct(F.lit(c).alias("feature"), F.count(x).alias("present"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("low"), F.max(x).alias("high"), F.percentile(x, F.array(*map(F.lit, POINTS))).alias("q")).alias(f"f{i}"))
+        aggs.append(F.struct(F.lit(c).alias("feature"), F.count(x).alias("present"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("low"), F.max(x).alias("high"), (F.percentile(x, points) if exact else F.percentile_approx(x, points, F.lit(10_000))).alias("q")).alias(f"f{i}"))
     one = df.agg(*aggs)
     rows = one.select("n", F.explode(F.array(*[f"f{i}" for i in range(len(features))])).alias("f"))
     return rows.select("f.feature", "n", "f.present", "f.mean", "f.std", "f.low", "f.high", *[F.col("f.q")[i].alias(f"q{round(p * 100)}") for i, p in enumerate(POINTS)])
@@ -27,9 +33,9 @@ def outside(df: DataFrame, profiled: DataFrame, features: list[str], low: Column
     return counted.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"c{i}").alias("outliers")) for i, c in enumerate(features)])).alias("x")).select("x.*")
 
 
-def anomalies(df: DataFrame, features: list[str], method: str = "iqr", width: float | None = None) -> DataFrame:
+def anomalies(df: DataFrame, features: list[str], method: str = "iqr", width: float | None = None, exact: bool = False) -> DataFrame:
     """(feature, present, outliers, share): beyond 1.5 quartile ranges, or beyond 3 standard deviations."""
-    p = profile(df, features)
+    p = profile(df, features, exact)
     c = F.col
     if method == "iqr":
         k = 1.5 if width is None else width
@@ -47,9 +53,9 @@ def change(now: Column, before: Column) -> Column:
     return F.when(before == 0, F.when(now == 0, 0.0).otherwise(1.0)).otherwise(F.abs(now - before) / F.abs(before))
 
 
-def drift(current: DataFrame, reference: DataFrame, features: list[str], threshold: float = 0.1) -> DataFrame:
+def drift(current: DataFrame, reference: DataFrame, features: list[str], threshold: float = 0.1, exact: bool = False) -> DataFrame:
     """(feature, mean_change, std_change, median_change, drift, drifted): relative changes against the reference and their mean."""
-    a, b = profile(current, features).alias("a"), profile(reference, features).alias("b")
+    a, b = profile(current, features, exact).alias("a"), profile(reference, features, exact).alias("b")
     pairs = (("mean", "mean_change"), ("std", "std_change"), ("q50", "median_change"))
     joined = a.join(F.broadcast(b), "feature").select("feature", *[F.coalesce(change(F.col(f"a.{x}"), F.col(f"b.{x}")), F.lit(0.0)).alias(n) for x, n in pairs])  # one row for each feature
     score = (F.col("mean_change") + F.col("std_change") + F.col("median_change")) / 3
@@ -64,16 +70,16 @@ def steps(x: Column, bounds: list[tuple[float, float]], last: float) -> Column:
     return out.otherwise(last)
 
 
-def quality_report(df: DataFrame, features: list[str], reference: DataFrame | None = None, threshold: float = 0.8) -> DataFrame:
+def quality_report(df: DataFrame, features: list[str], reference: DataFrame | None = None, threshold: float = 0.8, exact: bool = False) -> DataFrame:
     """(feature, null_score, outlier_score, distribution_score, drift_score, overall, ok); without a reference nothing has drifted."""
     c = F.col
-    p = profile(df, features)
+    p = profile(df, features, exact)
     spread = c("q75") - c("q25")
     report = p.join(F.broadcast(outside(df, p, features, c("q25") - 1.5 * spread, c("q75") + 1.5 * spread)), "feature")  # one row for each feature
     if reference is None:
         report = report.withColumn("shift", F.lit(0.0))
     else:
-        moved = drift(df, reference, features).select("feature", ((c("mean_change") + c("std_change")) / 2).alias("shift"))
+        moved = drift(df, reference, features, exact=exact).select("feature", ((c("mean_change") + c("std_change")) / 2).alias("shift"))
         report = report.join(F.broadcast(moved), "feature")
     nulls = F.greatest(F.lit(0.0), 1 - 2 * (1 - F.coalesce(F.try_divide(c("present"), c("n")), F.lit(0.0))))
     beyond = F.coalesce(F.try_divide(c("outliers"), c("present")), F.lit(0.0))
@@ -104,8 +110,10 @@ def recommendations(report: DataFrame) -> DataFrame:
 
 
 def completeness(df: DataFrame, features: list[str]) -> DataFrame:
+    one = df.agg(F.count("*").alias("n"), *[F.count_if(F.col(f"`{c}`").isNotNull() & ~F.isnan(F.col(f"`{c}`").cast("double"))).alias(f"c{i}") for i, c in enumerate(features)])
+    rows = one.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"c{i}").alias("present")) for i, c in enumerate(features)])).alias("x")).select("n", "x.*")
     c = F.col("present") / F.col("n")
-    return profile(df, features).select("feature", c.alias("completeness"), F.when(c >= 0.95, "excellent").when(c >= 0.90, "good").when(c >= 0.75, "fair").otherwise("poor").alias("status"))
+    return rows.select("feature", c.alias("completeness"), F.when(c >= 0.95, "excellent").when(c >= 0.90, "good").when(c >= 0.75, "fair").otherwise("poor").alias("status"))
 
 
 def freshness(df: DataFrame, time: str, now: Column | None = None) -> DataFrame:
@@ -115,13 +123,13 @@ def freshness(df: DataFrame, time: str, now: Column | None = None) -> DataFrame:
     return df.agg(F.max(time).alias("latest")).select("latest", hours.alias("age_hours"), F.when(hours <= 24, "fresh").when(hours <= 48, "stale").otherwise("very_stale").alias("status"))
 
 
-def monitor(df: DataFrame, features: list[str], reference: DataFrame | None = None) -> DataFrame:
+def monitor(df: DataFrame, features: list[str], reference: DataFrame | None = None, exact: bool = False) -> DataFrame:
     """(feature, completeness, anomaly_share, drift, status): healthy unless a check fails; unhealthy if half of them do."""
-    parts = completeness(df, features).select("feature", "completeness").join(F.broadcast(anomalies(df, features).select("feature", F.col("share").alias("anomaly_share"))), "feature")
+    parts = completeness(df, features).select("feature", "completeness").join(F.broadcast(anomalies(df, features, exact=exact).select("feature", F.col("share").alias("anomaly_share"))), "feature")
     if reference is None:
         parts = parts.withColumn("drift", F.lit(0.0))
     else:
-        parts = parts.join(F.broadcast(drift(df, reference, features).select("feature", "drift")), "feature")
+        parts = parts.join(F.broadcast(drift(df, reference, features, exact=exact).select("feature", "drift")), "feature")
     failed = (F.col("completeness") < 0.9).cast("int") + (F.col("anomaly_share") > 0.1).cast("int") + (F.col("drift") > 0.1).cast("int")
     return parts.withColumn("status", F.when(failed == 0, "healthy").when(failed * 2 < 3, "degraded").otherwise("unhealthy"))
 

@@ -372,22 +372,29 @@ def _halves(spark, d):
 
 @query(f"WITH {_P} SELECT feature, n, present, " + ", ".join(f"{R(c)} AS {c}" for c in ("mean", "std", "low", "high", "q25", "q50", "q75", "q95")) + " FROM p")
 def feature_profile(spark, d):
-    return round_columns(quality.profile(_lineitem(spark, d), list(_NUM)))
+    return round_columns(quality.profile(_lineitem(spark, d), list(_NUM), exact=True))
+
+
+@query()
+def quality_report_sketch(spark, d):
+    """The report as it is made of large tables: percentiles from sketches."""
+    now, before = _halves(spark, d)
+    return round_columns(quality.quality_report(now, list(_NUM), before))
 
 
 @query(f"WITH {_P}, {_IQR} SELECT feature, present, outliers, {R('outliers / CAST(present AS DOUBLE)')} AS share FROM p JOIN iqr USING (feature)")
 def outlier_iqr(spark, d):
-    return round_columns(quality.anomalies(_lineitem(spark, d), list(_NUM)))
+    return round_columns(quality.anomalies(_lineitem(spark, d), list(_NUM), exact=True))
 
 
 @query(f"WITH {_P}, z AS (" + _all(lambda c: f"SELECT '{c}' AS feature, count(*) AS outliers FROM lineitem, p WHERE p.feature = '{c}' AND ({c} < mean - 2 * std OR {c} > mean + 2 * std)") + f") SELECT feature, present, outliers, {R('outliers / CAST(present AS DOUBLE)')} AS share FROM p JOIN z USING (feature)")
 def anomaly_zscore(spark, d):
-    return round_columns(quality.anomalies(_lineitem(spark, d), list(_NUM), "zscore", 2.0))
+    return round_columns(quality.anomalies(_lineitem(spark, d), list(_NUM), "zscore", 2.0, exact=True))
 
 
 @query(f"WITH {_HALVES} SELECT feature, {R('mean_change')} AS mean_change, {R('std_change')} AS std_change, {R('median_change')} AS median_change, {R('(mean_change + std_change + median_change) / 3')} AS drift, (mean_change + std_change + median_change) / 3 > 0.1 AS drifted FROM dr")
 def drift_report(spark, d):
-    return round_columns(quality.drift(*_halves(spark, d), list(_NUM)))
+    return round_columns(quality.drift(*_halves(spark, d), list(_NUM), exact=True))
 
 
 def _steps(x: str, *bounds: float, scores=(1.0, 0.8, 0.6, 0.4), last=0.2) -> str:
@@ -407,7 +414,7 @@ def _steps(x: str, *bounds: float, scores=(1.0, 0.8, 0.6, 0.4), last=0.2) -> str
 )
 def quality_report(spark, d):
     now, before = _halves(spark, d)
-    return round_columns(quality.quality_report(now, list(_NUM), before))
+    return round_columns(quality.quality_report(now, list(_NUM), before, exact=True))
 
 
 @query("SELECT feature, " + R("c") + " AS completeness, CASE WHEN c >= 0.95 THEN 'excellent' WHEN c >= 0.9 THEN 'good' WHEN c >= 0.75 THEN 'fair' ELSE 'poor' END AS status FROM (SELECT 'value' AS feature, 1.0::DOUBLE AS c UNION ALL SELECT 'some', count(*) FILTER (WHERE event_type <> 'error') / CAST(count(*) AS DOUBLE) FROM events)")
@@ -423,7 +430,7 @@ def freshness(spark, d):
 
 @query(f"WITH {_P}, {_IQR}, m AS (SELECT feature, present / CAST(n AS DOUBLE) AS completeness, outliers / CAST(present AS DOUBLE) AS anomaly_share FROM p JOIN iqr USING (feature)) SELECT feature, {R('completeness')} AS completeness, {R('anomaly_share')} AS anomaly_share, 0.0::DOUBLE AS drift, CASE (CASE WHEN completeness < 0.9 THEN 1 ELSE 0 END + CASE WHEN anomaly_share > 0.1 THEN 1 ELSE 0 END) WHEN 0 THEN 'healthy' WHEN 1 THEN 'degraded' ELSE 'unhealthy' END AS status FROM m")
 def monitoring_report(spark, d):
-    return round_columns(quality.monitor(_lineitem(spark, d), list(_NUM)))
+    return round_columns(quality.monitor(_lineitem(spark, d), list(_NUM), exact=True))
 
 
 # --- points in time
