@@ -49,7 +49,7 @@ class Metrics:
                 v = sorted(values)
                 at = lambda p, v=v: v[min(len(v) - 1, int(p * len(v)))]
                 timers[k] = {"count": len(v), "mean": sum(v) / len(v), "min": v[0], "max": v[-1], "p50": at(0.5), "p95": at(0.95), "p99": at(0.99)}
-            return {"counters": dict(self._counters), "gauges": dict(self._gauges), "timers": timers}
+            return {"timers": timers, "gauges": {**self._gauges}, "counters": {**self._counters}}
 
     def export(self, format: str = "dict"):
         s = self.summary()

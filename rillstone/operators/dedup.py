@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STRATEGIES = ("key", "composite", "exact", "window")
+LATEST = "latest"
 
 
 def _keep(df: DataFrame, keys: list[Column], time: str, keep: str) -> DataFrame:
@@ -19,17 +20,17 @@ def _keep(df: DataFrame, keys: list[Column], time: str, keep: str) -> DataFrame:
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) == 1).drop(rank)
 
 
-def by_key(df: DataFrame, keys: list[str], time: str, keep: str = "latest") -> DataFrame:
+def by_key(df: DataFrame, keys: list[str], time: str, keep: str = LATEST) -> DataFrame:
     """One row for each key. Null keys are a key like others."""
     return _keep(df, [F.col(k) for k in keys], time, keep)
 
 
-def by_second(df: DataFrame, keys: list[str], time: str, keep: str = "latest") -> DataFrame:
+def by_second(df: DataFrame, keys: list[str], time: str, keep: str = LATEST) -> DataFrame:
     """One row for each key and second."""
     return _keep(df, [*[F.col(k) for k in keys], F.date_trunc("second", time)], time, keep)
 
 
-def by_window(df: DataFrame, keys: list[str], time: str, seconds: int = 300, keep: str = "latest") -> DataFrame:
+def by_window(df: DataFrame, keys: list[str], time: str, seconds: int = 300, keep: str = LATEST) -> DataFrame:
     """One row for each key and tumbling window of event time; rows without a time are a window of their own."""
     bucket = F.floor(F.col(time).cast("timestamp").cast("long") / seconds)
     return _keep(df, [*[F.col(k) for k in keys], bucket], time, keep)
@@ -40,7 +41,7 @@ def exact(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.dropDuplicates(columns) if columns else df.dropDuplicates()
 
 
-def remove_duplicates(df: DataFrame, strategy: str, keys: list[str] | None = None, time: str = "event_timestamp", keep: str = "latest", seconds: int = 300) -> DataFrame:
+def remove_duplicates(df: DataFrame, strategy: str, keys: list[str] | None = None, time: str = "event_timestamp", keep: str = LATEST, seconds: int = 300) -> DataFrame:
     if strategy == "key":
         return by_key(df, keys or ["event_id"], time, keep)
     if strategy == "composite":

@@ -187,7 +187,7 @@ def session_features(df: DataFrame, ev: Events = Events(), as_of: Column | None
 
 
 PERIODS = ("morning", "afternoon", "evening", "night")
-DAYS = ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")
+DAYS = tuple("sunday monday tuesday wednesday thursday friday saturday".split())
 
 
 def period(time: str | Column) -> Column:

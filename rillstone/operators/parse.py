@@ -64,9 +64,12 @@ def map_columns(df: DataFrame, name: str, keys: list[str], prefix: str = "") ->
 
 
 def safe_cast(c: Column, source: DataType, target: DataType) -> Column:
-    """A cast that gives null for what can't be read. Digits read as epoch milliseconds where a time is wanted; NaN becomes null."""
+    """A cast that gives null for what can't be read. Digits read as epoch milliseconds where a time is wanted; NaN becomes null; fields of structs are matched by name."""
     if source == target:
         return c
+    if isinstance(source, StructType) and isinstance(target, StructType):  # by name: fields may stand in another order, or be missing
+        fields = [(safe_cast(c.getField(f.name), source[f.name].dataType, f.dataType) if f.name in source.names else F.lit(None).cast(f.dataType)).alias(f.name) for f in target.fields]
+        return F.when(c.isNotNull(), F.struct(*fields))
     if isinstance(target, (TimestampType, DateType)):
         if isinstance(source, NumericType):
             t = F.timestamp_millis(c.cast("long"))

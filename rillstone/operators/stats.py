@@ -44,16 +44,16 @@ def _scaled(df, columns, totals, formula, suffix) -> DataFrame:
     return df.crossJoin(F.broadcast(one)).withColumns(made).drop(*one.columns)
 
 
-def normalize(df: DataFrame, columns: list[str], method: str = "zscore") -> DataFrame:
+def normalize(df: DataFrame, columns: list[str], way: str = "zscore") -> DataFrame:
     """df with ``{c}_normalized``: zscore, minmax or robust (median and quartiles); 0 where the column has no spread."""
-    if method == "zscore":
+    if way == "zscore":
         return _scaled(df, columns, {"m": F.avg, "s": F.stddev_samp}, lambda x, t: _score(x, t("m"), t("s")), "normalized")
-    if method == "minmax":
+    if way == "minmax":
         return _scaled(df, columns, {"lo": F.min, "hi": F.max}, lambda x, t: _score(x, t("lo"), t("hi") - t("lo")), "normalized")
-    if method == "robust":
+    if way == "robust":
         quartiles = {"q": lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))}
         return _scaled(df, columns, quartiles, lambda x, t: _score(x, t("q")[1], t("q")[2] - t("q")[0]), "normalized")
-    raise ValueError(f"no such method: {method}")
+    raise ValueError(f"no such way: {way}")
 
 
 def distribution(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:

@@ -254,7 +254,7 @@ def time_components(spark, d):
 
 
 _RECENCY = ("days_since_last_event", "days_since_first_event", "user_age_days")
-_FREQUENCY = ("total_events", "active_days", "events_7d", "events_30d", "events_per_day", "events_per_day_7d", "events_per_day_30d")
+_FREQUENCY = tuple("total_events active_days events_7d events_30d events_per_day events_per_day_7d events_per_day_30d".split())
 _TOD = tuple(n for p in features.PERIODS for n in (f"{p}_events", f"{p}_activity_pct"))
 _DOW = tuple(n for p in features.DAYS for n in (f"{p}_events", f"{p}_activity_pct"))
 

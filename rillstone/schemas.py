@@ -60,64 +60,82 @@ def ddl(text: str) -> StructType:
     return fields(None)
 
 
-DEVICE = "type STRING, os STRING, browser STRING, device_id STRING, screen_resolution STRING, battery_level INT"
-CONTENT = "content_id STRING, title STRING, content_type STRING, season INT, episode INT, duration_seconds BIGINT, genre STRING, release_year INT"
-CONTEXT = "page STRING, referrer STRING, position INT, autoplay BOOLEAN, previous_content STRING"
-METADATA = "ip_address STRING, user_agent STRING, country STRING, timezone STRING, language STRING, app_version STRING"
-REQUEST = "http_method STRING, request_id STRING, server_timestamp BIGINT"
+def typed(kind: str, names: str) -> str:
+    """DDL of several columns of a type."""
+    return ", ".join(f"{n} {kind}" for n in names.split())
+
+
+def struct(name: str, *parts: str) -> str:
+    return f"{name} STRUCT<{', '.join(parts)}>"
+
+
+_IDS = typed("STRING", "user_id session_id event_type event_id")
 
 #: What a producer sends, as JSON.
 RAW = ddl(
-    "event_id STRING, event_type STRING, timestamp BIGINT, timestamp_iso STRING, user_id STRING, session_id STRING, "
-    f"device STRUCT<{DEVICE}>, content STRUCT<{CONTENT}>, context STRUCT<{CONTEXT}>, metadata STRUCT<{METADATA}>, raw_data STRUCT<{REQUEST}>"
+    ", ".join(
+        [
+            _IDS,
+            typed("BIGINT", "timestamp"),
+            typed("STRING", "timestamp_iso"),
+            struct("device", typed("STRING", "type os browser device_id screen_resolution"), typed("INT", "battery_level")),
+            struct("content", typed("STRING", "content_id title content_type"), typed("INT", "season episode"), typed("BIGINT", "duration_seconds"), typed("STRING", "genre"), typed("INT", "release_year")),
+            struct("context", typed("STRING", "page referrer"), typed("INT", "position"), typed("BOOLEAN", "autoplay"), typed("STRING", "previous_content")),
+            struct("metadata", typed("STRING", "ip_address user_agent country timezone language app_version")),
+            struct("raw_data", typed("STRING", "http_method request_id"), typed("BIGINT", "server_timestamp")),
+        ]
+    )
 )
 
-KAFKA = ddl("key BINARY, value BINARY, topic STRING, partition INT, offset BIGINT, timestamp TIMESTAMP, timestampType INT")
+KAFKA = ddl(", ".join([typed("BINARY", "key value"), typed("STRING", "topic"), typed("INT", "partition"), typed("BIGINT", "offset"), typed("TIMESTAMP", "timestamp"), typed("INT", "timestampType")]))
 
 BRONZE = ddl(
-    "event_id STRING, event_type STRING, timestamp_ms BIGINT, timestamp_iso STRING, user_id STRING, session_id STRING, "
-    "event_data STRUCT<action: STRING, target_id: STRING, target_type: STRING, metadata: MAP<STRING, STRING>>, "
-    "video_data STRUCT<video_id: STRING, title: STRING, duration_seconds: BIGINT, play_position_seconds: BIGINT, quality: STRING>, "
-    "device_info STRUCT<device_type: STRING, os: STRING, browser: STRING, ip_address: STRING>, "
-    "processing_metadata STRUCT<ingestion_timestamp_ms: BIGINT, ingestion_date: STRING, ingestion_hour: INT, source_topic: STRING, source_partition: INT, "
-    "source_offset: BIGINT, validation_status: STRING, pii_scrubbed: BOOLEAN, deduplication_key: STRING>"
+    ", ".join(
+        [
+            _IDS,
+            typed("BIGINT", "timestamp_ms"),
+            typed("STRING", "timestamp_iso"),
+            struct("event_data", typed("STRING", "action target_type target_id"), "metadata MAP<STRING, STRING>"),
+            struct("video_data", typed("STRING", "video_id title quality"), typed("BIGINT", "play_position_seconds duration_seconds")),
+            struct("device_info", typed("STRING", "device_type os browser ip_address")),
+            struct("processing_metadata", typed("BIGINT", "ingestion_timestamp_ms source_offset"), typed("INT", "ingestion_hour source_partition"), typed("STRING", "ingestion_date source_topic validation_status deduplication_key"), typed("BOOLEAN", "pii_scrubbed")),
+        ]
+    )
 )
 
 SILVER = ddl(
-    "event_id STRING NOT NULL, event_type STRING NOT NULL, event_timestamp TIMESTAMP NOT NULL, event_date DATE NOT NULL, event_hour INT NOT NULL, "
-    "user_id STRING, user_segment STRING, session_id STRING, action STRING, target_id STRING, target_type STRING, video_id STRING, video_title STRING, "
-    "video_duration_seconds BIGINT, play_position_seconds BIGINT, video_quality STRING, video_category STRING, device_type STRING, os STRING, browser STRING, "
-    "ip_address STRING, country STRING, region STRING, timezone STRING, "
-    "silver_processing_metadata STRUCT<bronze_ingestion_date: STRING, bronze_ingestion_hour: INT, silver_processing_timestamp: TIMESTAMP, silver_processing_date: DATE, "
-    "data_quality_score: DOUBLE, enrichment_applied: ARRAY<STRING>, transformation_applied: ARRAY<STRING>, validation_status: STRING, validation_errors: ARRAY<STRING>>"
+    ", ".join(
+        [
+            typed("STRING NOT NULL", "event_id event_type"),
+            typed("TIMESTAMP NOT NULL", "event_timestamp"),
+            typed("DATE NOT NULL", "event_date"),
+            typed("INT NOT NULL", "event_hour"),
+            typed("STRING", "user_id session_id user_segment action target_type target_id video_id video_title video_category video_quality"),
+            typed("BIGINT", "play_position_seconds video_duration_seconds"),
+            typed("STRING", "os browser device_type ip_address timezone region country"),
+            struct("silver_processing_metadata", typed("STRING", "bronze_ingestion_date validation_status"), typed("INT", "bronze_ingestion_hour"), typed("TIMESTAMP", "silver_processing_timestamp"), typed("DATE", "silver_processing_date"), typed("DOUBLE", "data_quality_score"), typed("ARRAY<STRING>", "enrichment_applied transformation_applied validation_errors")),
+        ]
+    )
 )
 
-LOOKUPS = {
-    "user_segments": ddl("user_id STRING, user_segment STRING"),
-    "video_catalog": ddl("video_id STRING, video_category STRING"),
-    "geo_ip": ddl("ip_address STRING, country STRING, region STRING, timezone STRING"),
-}
+LOOKUPS = {name: ddl(typed("STRING", columns)) for name, columns in (("user_segments", "user_id user_segment"), ("video_catalog", "video_id video_category"), ("geo_ip", "ip_address country region timezone"))}
 
-LOWERCASE = ("event_type", "action", "target_type", "device_type", "os", "browser", "video_quality", "video_category", "user_segment")
-UPPERCASE = ("country",)
+LOWERCASE = frozenset("action browser device_type event_type os target_type user_segment video_category video_quality".split())
+UPPERCASE = frozenset(["country"])
 
 #: Synonyms, after lower-casing.
 ENUMS: dict[str, dict[str, str]] = {
     "device_type": dict.fromkeys(("phone", "smartphone"), "mobile") | {"ipad": "tablet"} | dict.fromkeys(("laptop", "computer"), "desktop") | dict.fromkeys(("smart-tv", "smart tv"), "smart_tv"),
-    "os": {"iphone os": "ios", "mac": "macos", "darwin": "macos"},
-    "video_quality": {q: q + "p" for q in ("240", "360", "480", "720", "1080", "1440", "2160")} | {"4k": "4K", "uhd": "4K"},
+    "os": dict.fromkeys(("darwin", "mac"), "macos") | {"iphone os": "ios"},
+    "video_quality": {q: q + "p" for q in ("240", "360", "480", "720", "1080", "1440", "2160")} | dict.fromkeys(("uhd", "4k"), "4K"),
 }
 
-DEFAULTS = {"video_quality": "unknown", "device_type": "unknown", "os": "unknown"}
+DEFAULTS = dict.fromkeys("os device_type video_quality".split(), "unknown")
 REQUIRED_SILVER = tuple(f.name for f in SILVER.fields if not f.nullable)
-REQUIRED_BY_TYPE = {
-    "video_play_start": ("event_id", "event_timestamp", "video_id"),
-    "video_play_complete": ("event_id", "event_timestamp", "video_id", "play_position_seconds"),
-    "post_like": ("event_id", "event_timestamp", "target_id"),
-    "purchase": ("event_id", "event_timestamp", "target_id", "target_type"),
-}
-BRONZE_EVENT_TYPES = ("video_play_start", "video_play_pause", "video_play_stop", "post_like", "add_to_cart", "page_view")
-PII_FIELDS = ("user_id", "ip_address", "email", "phone_number", "device_id", "session_id")
+#: What events of some types need besides an id and a time.
+REQUIRED_BY_TYPE = {kind: ("event_id", "event_timestamp", *more.split()) for kind, more in (("purchase", "target_type target_id"), ("post_like", "target_id"), ("video_play_complete", "play_position_seconds video_id"), ("video_play_start", "video_id"))}
+BRONZE_EVENT_TYPES = tuple("add_to_cart page_view post_like video_play_pause video_play_start video_play_stop".split())
+PII_FIELDS = tuple("device_id email ip_address phone_number session_id user_id".split())
 
 
 @dataclass(frozen=True)

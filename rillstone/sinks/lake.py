@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-MODES = ("overwrite", "append", "ignore", "error")
+MODES = tuple("append error ignore overwrite".split())
 RECORDS_PER_FILE = 1_000_000
 FEATURES_PER_FILE = 500_000
 

@@ -48,6 +48,7 @@ def write_bronze(bronze: DataFrame, path: str, dead_letters: str, checkpoint: st
 
 def json_lines(messages: DataFrame, path: str, checkpoint: str, schema: str = "user_id STRING, action STRING, timestamp BIGINT", every: str | None = None) -> DataStreamWriter:
     """The smallest job: JSON messages of a flat schema to JSON lines."""
-    rows = messages.select(F.from_json(F.col("value").cast("string"), schema).alias("d")).select("d.*")
+    text = messages["value"].cast("string")
+    rows = messages.select(F.from_json(text, schema).alias("message")).select("message.*")
     writer = rows.writeStream.format("json").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
     return writer.trigger(processingTime=lake.interval(every)) if every else writer.trigger(availableNow=True)

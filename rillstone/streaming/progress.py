@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
+import pathlib
 
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -55,19 +55,19 @@ def checkpoint_path(base: str, job: str) -> str:
 
 def committed_batches(checkpoint: str) -> list[int]:
     """Numbers of the batches that a local checkpoint says are done."""
-    return sorted(int(p.name) for p in (Path(checkpoint) / "commits").glob("*") if p.name.isdigit())
+    return sorted(int(p.name) for p in (pathlib.Path(checkpoint) / "commits").glob("*") if p.name.isdigit())
 
 
 def last_offsets(checkpoint: str) -> list[dict] | None:
     """Source offsets of the last batch in a local checkpoint (its folder ``offsets``); None where there is none."""
-    batches = sorted((int(p.name), p) for p in (Path(checkpoint) / "offsets").glob("*") if p.name.isdigit())
+    batches = sorted((int(p.name), p) for p in (pathlib.Path(checkpoint) / "offsets").glob("*") if p.name.isdigit())
     if not batches:
         return None
     return [json.loads(x) for x in batches[-1][1].read_text().split("\n")[2:] if x and x != "-"]
 
 
 def starting_offset(strategy: str, checkpoint: str | None = None, fallback: str = "latest") -> str:
-    """earliest or latest; with ``checkpoint`` Spark resumes by itself where there is one, else the fallback holds."""
+    """Either earliest or latest; with ``checkpoint`` Spark resumes by itself where there is one, else the fallback holds."""
     if strategy in ("earliest", "latest"):
         return strategy
     if strategy != "checkpoint":

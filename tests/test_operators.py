@@ -61,7 +61,9 @@ def test_silver_normalization(spark):
 
 def test_schema_helpers():
     assert "processing_metadata.source_offset" in schemas.paths(schemas.BRONZE) and "silver_processing_metadata.data_quality_score" in schemas.paths(schemas.SILVER)
-    avro = {"fields": [{"name": "a", "type": "string"}, {"name": "b", "type": ["null", {"type": "record", "name": "R", "fields": [{"name": "c", "type": ["null", "int"]}]}]}, {"name": "m", "type": {"type": "map", "values": "long"}}, {"name": "l", "type": {"type": "array", "items": "double"}}]}
+    field = lambda name, kind: {"name": name, "type": kind}
+    record = dict(type="record", name="R", fields=[field("c", ["null", "int"])])
+    avro = {"fields": [field("a", "string"), field("b", ["null", record]), field("m", {"type": "map", "values": "long"}), field("l", {"type": "array", "items": "double"})]}
     assert schemas.from_avro(avro).simpleString() == "struct<a:string,b:struct<c:int>,m:map<string,bigint>,l:array<double>>"
     assert [f.nullable for f in schemas.from_avro(avro).fields] == [False, True, False, False]
     with pytest.raises(ValueError):
