@@ -68,11 +68,7 @@ def op7_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages of one TIFF file for each embedding. The tables hold no images: an embedding is drawn as a page of 8-bit and one of 16-bit samples, in four kinds of compression."""
     files = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(_drawn, "vec_id long, media binary")
     found = tiff.pages(files, "media")
-    shown = F.hex("pixels")
-    step = F.col("bits") / 4
-    samples = F.transform(F.sequence(F.lit(0), (F.length(shown) / step - 1).cast("int")), lambda i: F.substring(shown, (i * step + 1).cast("int"), step.cast("int")))
-    value = F.aggregate(samples, F.lit(0).cast("long"), lambda s, x: s + F.conv(F.concat(F.substring(x, 3, 2), F.substring(x, 1, 2)), 16, 10).cast("long"))
-    return found.select("vec_id", "page", "width", "height", "samples", "bits", "compression", "predictor", value.alias("total"), "error")
+    return found.select("vec_id", "page", "width", "height", "samples", "bits", "compression", "predictor", F.lower(F.hex("pixels")).alias("pixels"), "error")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +107,9 @@ WITH p AS (SELECT vec_id, embedding, unnest([0, 1]) AS page FROM embeddings)
 SELECT vec_id, CAST(page AS INTEGER) AS page, 8 AS width, 8 AS height, 1 AS samples, CASE page WHEN 0 THEN 8 ELSE 16 END AS bits,
   CAST(CASE vec_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 32773 WHEN 2 THEN 5 ELSE 8 END AS INTEGER) AS compression,
   CASE WHEN vec_id % 4 < 2 THEN 1 ELSE 2 END AS predictor,
-  CAST(list_sum(list_transform(embedding, lambda x: floor(least(1, greatest(0, (x::DOUBLE + 1) / 2)) * CASE page WHEN 0 THEN 255 ELSE 65535 END))) AS BIGINT) AS total,
+  array_to_string(list_transform(embedding, lambda x: CASE page
+    WHEN 0 THEN format('{:02x}', CAST(floor(least(1, greatest(0, (x::DOUBLE + 1) / 2)) * 255) AS INTEGER))
+    ELSE format('{:02x}', CAST(floor(least(1, greatest(0, (x::DOUBLE + 1) / 2)) * 65535) AS INTEGER) % 256) || format('{:02x}', CAST(floor(least(1, greatest(0, (x::DOUBLE + 1) / 2)) * 65535) AS INTEGER) // 256) END), '') AS pixels,
   CAST(NULL AS VARCHAR) AS error
 FROM p""",
     "op10_quotation_linking": r"""
