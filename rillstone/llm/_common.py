@@ -30,14 +30,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def cut(df: DataFrame, what: str) -> DataFrame:
-    """Writes df to a table in the shared folder and reads it again: lineage ends there, and a lost executor costs nothing."""
+    """Writes df to a table in the shared folder and reads it again: lineage ends there, and a lost executor costs nothing. sweep() removes it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Removes the tables that cut() wrote in this program; for when all results that read them are stored."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def buckets(df: DataFrame, each_mb: int = 32, most: int = 1 << 20) -> int:
     """How many parts a shuffle of df's size needs so that one fits a task: by the plan's size, at least shuffle.partitions.
 

@@ -38,3 +38,28 @@ def test_sliced_batches_and_long_rows():
     whole = T.words(T.column(texts))
     part = T.words(T.column(pa.array(texts).slice(4, 4)))
     assert np.array_equal(whole[0][whole[3][4] : whole[3][8]], part[0])
+
+
+def test_slices_bound_bytes_and_rows():
+    from rillstone.llm._common import slices
+
+    batch = pa.record_batch({"text": pa.array(["a" * 10, None, "b" * 95, "", "c" * 10] * 3), "n": pa.array(range(15))})
+    for most_bytes, most_rows in ((100, 99), (5, 99), (1000, 2), (1000, 1000)):
+        parts = list(slices(batch, "text", most_bytes, most_rows))
+        assert [x for p in parts for x in p["n"].to_pylist()] == list(range(15)) and all(p.num_rows <= most_rows for p in parts)
+        assert all(p.num_rows == 1 or sum(len(x or "") for x in p["text"].to_pylist()) <= most_bytes + 95 for p in parts)
+    assert list(slices(batch.slice(0, 0))) == []
+
+
+def test_sweep_removes_what_cut_wrote(spark):
+    import os
+
+    from rillstone.llm import _common
+
+    path = _common.cut(spark.range(3), "sweep").inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    kept = list(_common._written)
+    _common._written[:] = [p for p in kept if "/sweep-" in p]
+    _common.sweep(spark)
+    assert not os.path.exists(path)
+    _common._written[:] = [p for p in kept if "/sweep-" not in p]
