@@ -2,13 +2,16 @@
 
 Two passes over the documents, both without a shuffle of texts: the first counts
 in how many documents each n-gram of a test item stands; the second looks up
-each item's rare n-grams, and aligns the words around every hit with the item's
+each item's n-grams, and aligns the words around every hit with the item's
 words. The score is the best local alignment over that of an exact copy, so
 copies with words changed, added or left out score nearly 1.
 
 An n-gram is rare if at most RARE_SHARE of the documents have it, or at most
-RARE_TIMES as many as have the rarest n-gram of its item; so an item that
-leaked into very many documents keeps its seeds.
+RARE_TIMES as many as have the rarest n-gram of its item. The words around a
+rare one are aligned outright; those around frequent ones only if they hold so
+many of the item's words that the threshold can be reached. So no n-gram is
+lost as a seed, however many documents hold the item, whole, edited or cut; and
+a passage that many documents hold is aligned once in a task.
 
 The items go to all executors in slices of at most SLICE_WORDS words; a larger
 benchmark takes more passes, never a larger broadcast.
@@ -29,6 +32,8 @@ from rillstone.llm._common import slices
 N, THRESHOLD = 4, 0.5
 RARE_SHARE, RARE_TIMES = 1e-4, 10
 SLICE_WORDS = 1 << 22
+#: Alignments that a task remembers.
+KNOWN = 1 << 12
 MATCH, MISMATCH, GAP = 2, -1, -1
 _BITS = 20
 
@@ -91,24 +96,37 @@ def _seed_counts(batches: Iterator[pa.RecordBatch], lookup: _Lookup, n: int) ->
 
 
 class _Items:
-    """The items' words, and which items have which rare n-gram at which word."""
+    """The items' words, and which items have which n-gram that documents hold at which word, and whether it is rare."""
 
-    def __init__(self, ids: list, words: list[np.ndarray], grams: list[np.ndarray], rare: list[np.ndarray]):
+    def __init__(self, ids: list, words: list[np.ndarray], grams: list[np.ndarray], held: list[np.ndarray], rare: list[np.ndarray]):
         self.ids, self.words = ids, words
-        entries = [(g, i, k) for i, (gs, keep) in enumerate(zip(grams, rare)) for k, (g, ok) in enumerate(zip(gs, keep)) if ok]
+        self.known: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+        entries = [(g, i, k, bool(few)) for i, (gs, keep, rares) in enumerate(zip(grams, held, rare)) for k, (g, ok, few) in enumerate(zip(gs, keep, rares)) if ok]
         self.lookup = _Lookup(np.array([e[0] for e in entries], np.uint64))
         number = np.searchsorted(self.lookup.hashes, np.array([e[0] for e in entries], np.uint64))
-        self.places: dict[int, list[tuple[int, int]]] = {}
-        for c, (_, i, k) in zip(number, entries):
-            self.places.setdefault(int(c), []).append((i, k))
+        self.places: dict[int, list[tuple[int, int, bool]]] = {}
+        for c, (_, i, k, few) in zip(number, entries):
+            self.places.setdefault(int(c), []).append((i, k, few))
+
+    def _aligned(self, i: int, words: np.ndarray) -> tuple[int, int, int]:
+        key = (i, words.tobytes())
+        found = self.known.get(key)
+        if found is None:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            found = self.known[key] = align(self.words[i], words)
+        return found
 
     def matches(self, words: np.ndarray, at: np.ndarray, number: np.ndarray, threshold: float) -> list[tuple[int, float, int, int]]:
         """(item, score, first word, end word) of the best alignment with each item that reaches the threshold."""
         spans: dict[int, list[tuple[int, int]]] = {}
+        outright = set()
         for p, c in zip(at.tolist(), number.tolist()):
-            for i, k in self.places[c]:
+            for i, k, few in self.places[c]:
                 size = len(self.words[i])
                 spans.setdefault(i, []).append((max(0, p - k - size // 2), min(len(words), p - k + size + size // 2)))
+                if few:
+                    outright.add(i)
         out = []
         for i, around in spans.items():
             around.sort()
@@ -119,8 +137,10 @@ class _Items:
                 else:
                     merged.append((low, high))
             full = MATCH * len(self.words[i])
-            best = max(((score / full, low + a, low + b) for low, high in merged for score, a, b in [align(self.words[i], words[low:high])]), key=lambda x: (x[0], -x[1]))
-            if best[0] >= threshold:
+            if i not in outright:  # each of the item's words matches once at most
+                merged = [(low, high) for low, high in merged if MATCH * np.isin(self.words[i], words[low:high]).sum() >= threshold * full]
+            best = max(((score / full, low + a, low + b) for low, high in merged for score, a, b in [self._aligned(i, words[low:high])]), key=lambda x: (x[0], -x[1]), default=None)
+            if best and best[0] >= threshold:
                 out.append((i, *best))
         return out
 
@@ -154,7 +174,7 @@ def _keep(batches: Iterator[pa.RecordBatch], items: _Items, n: int, threshold: f
 
 
 def prepare(docs: DataFrame, benchmark: DataFrame, n: int = N, slice_words: int = SLICE_WORDS) -> Iterator[_Items]:
-    """The benchmark in slices, with each item's rare n-grams by counts over all documents."""
+    """The benchmark in slices, with each item's n-grams that documents hold, and which are rare, by counts over all documents."""
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     size = bench.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     slices = max(1, -(-int(size) // (6 * slice_words)))
@@ -166,11 +186,12 @@ def prepare(docs: DataFrame, benchmark: DataFrame, n: int = N, slice_words: int
         lookup = _Lookup(np.concatenate(grams) if grams else np.zeros(0, np.uint64))
         counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lambda it: _seed_counts(it, lookup, n), "seed long, df long").groupBy("seed").agg(F.sum("df").alias("df")).collect() if rows else []
         df = {r["seed"]: r["df"] for r in counted}
-        total, rare = df.pop(-1, 0), []
+        total, held, rare = df.pop(-1, 0), [], []
         for g in grams:
             own = np.array([df.get(int(i), 0) for i in np.searchsorted(lookup.hashes, g)])
+            held.append(own > 0)
             rare.append(own <= max(RARE_SHARE * total, RARE_TIMES * max(1, own.min())))
-        yield _Items([r["item_id"] for r in rows], words, grams, rare)
+        yield _Items([r["item_id"] for r in rows], words, grams, held, rare)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD, slice_words: int = SLICE_WORDS) -> DataFrame:

@@ -73,6 +73,22 @@ def test_item_in_every_document_keeps_its_seeds(spark):
     assert D.matches(docs, spark.createDataFrame([(1, item)], "item_id BIGINT, text STRING")).count() == 40
 
 
+def test_widely_copied_edited_and_cut_leaks_are_found(spark):
+    items = [(k, " ".join(WORDS[30 * k : 30 * k + 30])) for k in range(4)]
+    changed, cut, both = (items[k][1].split() for k in (0, 1, 2))
+    changed[14] = "edited"
+    both[5::6] = ["edited"] * 5
+    rows = [" ".join(changed)] * 2000 + [" ".join(cut[:20])] * 2000 + [" ".join(both)] * 2000
+    rows += [items[2][1]] * 3  # verbatim copies must not hide edited ones
+    few = len(rows)
+    rows += [" ".join(items[3][1].split()[:6])] * 50  # a fifth of an item is no leak
+    docs = spark.createDataFrame([(i, prose(5000, 20) + " " + t) for i, t in enumerate(rows)], "doc_id BIGINT, text STRING")
+    bench = spark.createDataFrame(items, "item_id BIGINT, text STRING")
+    got = {(x["doc_id"], x["item_id"]) for x in D.matches(docs, bench).collect()}
+    assert {(i, min(2, i // 2000)) for i in range(few)} <= got and not any(i >= few and k == 3 for i, k in got)
+    assert {x["doc_id"] for x in D.without_matches(docs, bench).collect()} == set(range(few, len(rows)))
+
+
 def test_edge_cases(spark, edge_docs, no_docs):
     bench = spark.createDataFrame([(None, "w1 w2 w3 w4 w5"), (1, None), (2, ""), (3, "one"), (4, prose(1, 80)), (4, prose(1, 80)), (5, prose(9, 60_000)[:300])], "item_id BIGINT, text STRING")
     got = sorted((x["doc_id"] or 0, x["item_id"]) for x in D.matches(edge_docs, bench).collect())
