@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without blocks of lines that an earlier one has; those that lose all their lines go."""
-    return line_dedup.line_dedup(docs, drop_emptied=True)
+    return line_dedup.line_dedup(docs, drop_emptied=True, runs=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

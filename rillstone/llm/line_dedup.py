@@ -1,12 +1,16 @@
 """Line dedup by pairwise alignment.
 
-Every line that is long enough to be telling is hashed. A line that several
-documents hold links each of them to the first document that holds it, so a
-line in a million documents makes a million pairs, not its square, and all
-repeats of it are still covered. The two documents of a pair are aligned by
-patience diff on their lines' hashes; runs of lines that are common to both in
-order, of at least MIN_WORDS words, are deleted from the later one; what is left is
-aligned again, for blocks that moved.
+Every line that is long enough to be telling is hashed, and with ``runs``, as
+the query and the pipeline have it, every least run of adjacent lines that reaches MIN_WORDS words: from each line on, and up to
+each line. A line or run that several documents hold links each of them to the
+first document that holds it, so one in a million documents makes a million
+pairs, not its square. With ``runs`` all repeats are still covered: each line of a block that
+is common with any earlier document lies in a least run within the block, and
+the first holder of that run is aligned. The two documents of a pair are aligned
+by patience diff on their lines' hashes; runs of lines that are common to both
+in order, of at least MIN_WORDS words, are deleted from the later one; what is
+left is aligned again, for blocks that moved; common runs that the order of the
+alignments still missed are looked up at last.
 
 Only hashes move until the end: one row per document with its lines' hashes and
 lengths. The texts are joined with the deletions once.
@@ -18,10 +22,12 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillstone.llm import _tokens as T
 from rillstone.llm._common import cut, fresh
 
 #: Blocks under MIN_WORDS words stay: headings, signatures, stock phrases.
@@ -105,15 +111,44 @@ def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int)
     """Numbers of the lines of b in blocks that are common with a, in one piece in both, and of at least min_words words.
 
     What is left of b is aligned again until nothing is found, so blocks that
-    stand in another order, or twice in b, are found too.
+    stand in another order, or twice in b, are found too. What overlaps blocks
+    that were found, or that the alignments paired otherwise, is looked up.
     """
     left: list = list(b)
-    out: list[int] = []
+    out: set[int] = set()
     while found := _blocks(a, left, words, min_words):
         for j in found:
             left[j] = ("deleted", j)  # equals no line of a
-        out += found
-    return sorted(out)
+        out.update(found)
+    return sorted(out | _missed(a, b, words, min_words, out))
+
+
+def _missed(a: list[int], b: list[int], words: list[int], min_words: int, known: set[int]) -> set[int]:
+    """Lines of b that aren't known, in runs of at least min_words words that a has in one piece."""
+    held = set(a)
+    if all(j in known or h not in held for j, h in enumerate(b)):
+        return set()
+    starts, ends = least_runs(np.array(words, np.int64), np.array([0, len(b)]), min_words)
+    places: dict[int, list[int]] = {}
+    for i, h in enumerate(a):
+        places.setdefault(h, []).append(i)
+    out: set[int] = set()
+    for s, e in zip(starts.tolist(), ends.tolist()):
+        if any(j not in known and j not in out for j in range(s, e)) and any(a[i : i + e - s] == b[s:e] for i in places.get(b[s], ())):
+            out.update(range(s, e))
+    return out - known
+
+
+def least_runs(words: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and end lines of the least runs within a row that reach min_words words: from each line on, and up to each line."""
+    sums = np.concatenate([[0], np.cumsum(words)])
+    first, last = np.repeat(offsets[:-1], np.diff(offsets)), np.repeat(offsets[1:], np.diff(offsets))
+    line = np.arange(len(words))
+    ends = np.maximum(np.searchsorted(sums, sums[:-1] + min_words, "left"), line + 1)
+    starts = np.minimum(np.searchsorted(sums, sums[1:] - min_words, "right") - 1, line)
+    on, up = ends <= last, (starts >= first) & (sums[line + 1] - sums[np.maximum(starts, 0)] >= min_words)
+    up &= ~(on[np.maximum(starts, 0)] & (ends[np.maximum(starts, 0)] == line + 1))  # is such a run from its first line on
+    return np.concatenate([line[on], starts[up]]), np.concatenate([ends[on], line[up] + 1])
 
 
 def _align(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
@@ -123,11 +158,26 @@ def _align(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "text_hash", "gone"])
 
 
+def _links(batches: Iterator[pa.RecordBatch], min_words: int, seed_words: int, runs: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lines, offsets = batch["lines"].flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(batch["lines"].value_lengths().to_numpy(), dtype=np.int64)])
+        words = batch["words"].flatten().to_numpy().astype(np.int64)
+        starts, ends = least_runs(words, offsets, min_words) if runs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        long = np.flatnonzero(words >= seed_words)
+        several = ends - starts > 1  # of one line, its own hash links
+        single = starts[~several][words[starts[~several]] < seed_words]
+        starts, ends = starts[several], ends[several]
+        at = np.concatenate([long, single, starts])
+        links = np.concatenate([lines[long], lines[single], T.span_hashes(lines, starts, ends)]).view(np.int64)
+        row = np.searchsorted(offsets, at, "right") - 1
+        yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(row)), pa.array(links, pa.int64())], ["doc_id", "line"])
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def deletions(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
+def deletions(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS, runs: bool = False) -> DataFrame:
     """(doc_id, text_hash, gone): the numbers, from 0, of the lines to delete from each document."""
     text = F.col("text").cast("string")
     trimmed = F.transform(_lines(text), lambda x: F.trim(x))
@@ -138,7 +188,7 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEE
         F.transform(trimmed, lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1)).alias("words"),
     )
     per = cut(per.groupBy("doc_id").agg(F.max_by(F.struct("text_hash", "lines", "words"), "text_hash").alias("s")).select("doc_id", "s.*"), "lines")
-    telling = per.select("doc_id", F.explode(F.array_distinct(F.filter(F.arrays_zip("lines", "words"), lambda x: x["words"] >= seed_words))).alias("x")).select("doc_id", F.col("x.lines").alias("line"))
+    telling = per.select("doc_id", "lines", "words").mapInArrow(lambda it: _links(it, min_words, seed_words, runs), "doc_id long, line long")
     first = telling.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     pairs = telling.join(first, "line").where("doc_id > first").select("doc_id", "first").distinct()
     earlier = per.select(F.col("doc_id").alias("first"), F.col("lines").alias("first_lines"))
@@ -147,19 +197,21 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEE
     return found.groupBy("doc_id", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS, drop_emptied: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS, drop_emptied: bool = False, runs: bool = False) -> DataFrame:
     """docs with repeated blocks of lines deleted from all but the first document (by doc_id) that holds them.
 
     All columns stay; n_chars, where there is one, is counted anew for changed
     texts. A document that lost all its lines keeps an empty text, or goes with
-    ``drop_emptied``. Rows without an id or a text are left as they are. Rows
+    ``drop_emptied``. Without ``runs`` a document is compared with the first
+    holders of its single lines only, which misses blocks whose lines stand
+    earlier in other documents. Rows without an id or a text are left as they are. Rows
     that share an id are one document: of different texts one alone is compared
     (that of the greatest hash) and changed, equal ones change alike. Lines are
     compared without the blanks around them; repeats within one document stay.
     An empty table gives an empty one.
     """
     own, text_hash, lines = fresh(docs, "__id", "__hash", "__gone")
-    gone = deletions(docs, min_words, seed_words).select(F.col("doc_id").alias(own), F.col("text_hash").alias(text_hash), F.col("gone").alias(lines))
+    gone = deletions(docs, min_words, seed_words, runs).select(F.col("doc_id").alias(own), F.col("text_hash").alias(text_hash), F.col("gone").alias(lines))
     text = docs["text"].cast("string")
     joined = docs.join(gone, (docs["doc_id"].cast("long") == gone[own]) & (F.xxhash64(text) == gone[text_hash]), "left")
     left = F.array_join(F.filter(_lines(F.col("text").cast("string")), lambda x, i: ~F.array_contains(F.col(lines), i)), "\n")

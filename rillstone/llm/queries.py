@@ -72,7 +72,7 @@ def op7_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), runs=True)
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,6 +58,37 @@ def test_same_as_brute_force(spark):
         assert sum(b in t for t in got.values()) <= 1
 
 
+def whole(rows, min_words):
+    """Every document against every earlier one: all lines in any common run of at least min_words words go."""
+    lines = {i: t.split("\n") for i, t in rows}
+    count = lambda x: 0 if x == "" else x.count(" ") + 1
+    runs = {i: {tuple(x[s:e]) for s in range(len(x)) for e in range(s + 1, len(x) + 1)} for i, x in lines.items()}
+    out = {}
+    for i, x in lines.items():
+        gone = set()
+        for s in range(len(x)):
+            for e in range(s + 1, len(x) + 1):
+                if sum(map(count, x[s:e])) >= min_words and any(j < i and tuple(x[s:e]) in runs[j] for j in lines):
+                    gone |= set(range(s, e))
+        out[i] = "\n".join(y for k, y in enumerate(x) if k not in gone)
+    return out
+
+
+def test_block_of_lines_that_stand_singly_before(spark):
+    a, b = prose(1, 25, 25), prose(2, 25, 25)
+    rows = [(1, a), (2, b), *((i, a + "\n" + b) for i in range(3, 40))]
+    got = {x["doc_id"]: x["text"] for x in L.line_dedup(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), runs=True).collect()}
+    assert got == whole(rows, L.MIN_WORDS) and got[3] == rows[2][1] and got[39] == ""
+
+
+def test_same_as_each_document_against_every_earlier_one(spark):
+    r = random.Random(8)
+    stock = [prose(300 + k, n, n) for k, n in enumerate([1, 2, 3, 5, 8, 12, 14, 17, 20, 25, 29, 31])] + [""]
+    rows = [(i, "\n".join(r.choices(stock, k=r.randrange(1, 9)))) for i in range(150)]
+    got = {x["doc_id"]: x["text"] for x in L.line_dedup(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), runs=True).collect()}
+    assert got == whole(rows, L.MIN_WORDS)
+
+
 def test_edge_cases(spark, edge_docs, no_docs):
     out = L.line_dedup(edge_docs)
     assert out.columns == edge_docs.columns and out.count() == edge_docs.count()
