@@ -2,9 +2,10 @@
 
 The automaton holds every run of words of every template. A text is streamed
 through it word by word, which gives at each word the longest run that ends
-there and stands in some template (matching statistics). Runs of at least
-MIN_MATCH words that can't be extended are placed in the templates that hold
-them and chained, in order in both; a chain that covers enough of a template is
+there and stands in some template (matching statistics), and over the suffix
+links the longest that ends at each place of each other template. Runs of at
+least MIN_MATCH words that can't be extended at their place in a template, though
+another template may hold a longer one, are chained, in order in both; a chain that covers enough of a template is
 a finding. Words no template has reset the automaton, so only stretches of
 licence words are streamed; these are found by numpy for whole batches.
 """
@@ -132,12 +133,18 @@ class Scanner:
                 yield int(row[part[0]]), int(at[part[0]]), int(at[part[-1]]) + 1
 
     def matches(self, symbols: list, base: int) -> list[tuple[int, int, int, int]]:
-        """(template, first word in the text, first word in the template, length) of the runs that can't be extended."""
-        stats = self.automaton.statistics(symbols)
+        """(template, first word in the text, first word in the template, length) of the runs that can't be extended at that place of the template."""
         out = []
-        for i, (length, state) in enumerate(stats):
-            if length >= self.min_match and (i + 1 == len(stats) or stats[i + 1][0] != length + 1):
-                out += [(t, base + i + 1 - length, end - length, length) for t, end in self.automaton.ends[state]]
+        running: dict[tuple[int, int], int] = {}
+        for i, (length, state) in enumerate([*self.automaton.statistics(symbols), (0, 0)]):
+            places: dict[tuple[int, int], int] = {}
+            while length >= self.min_match:
+                for place in self.automaton.ends[state]:
+                    places.setdefault(place, length)
+                state = self.automaton.link[state]
+                length = self.automaton.length[state]
+            out += [(t, base + i - n, end - n, n) for (t, end), n in running.items() if (t, end + 1) not in places]
+            running = places
         return out
 
     def chains(self, matches: list[tuple[int, int, int, int]]) -> list[tuple[str, float, int, int]]:
@@ -148,11 +155,14 @@ class Scanner:
             by.setdefault(t, []).append((x, y, n))
         for t, own in sorted(by.items()):
             own.sort()
+            longest = max(n for _, _, n in own)
             score, back = [], []
             for k, (x, y, n) in enumerate(own):
                 best, came = n, -1
                 for j in range(k - 1, -1, -1):
                     a, b, m = own[j]
+                    if x - a > self.gap + longest:
+                        break
                     overlap = max(0, a + m - x, b + m - y)
                     if a < x and b < y and overlap < n and x - a - m <= self.gap and y - b - m <= max(self.gap, self.lengths[t] // 4) and score[j] + n - overlap > best:
                         best, came = score[j] + n - overlap, j

@@ -66,6 +66,29 @@ def test_chains_match_brute_force():
         assert (max(f[2] for f in found) if found else 0) == (top / 16 if top >= 0.3 * 16 else 0)
 
 
+def test_short_template_within_a_longer_run_of_another():
+    notice = S.TEMPLATES["Apache-2.0-notice"]
+    for text in (f"{notice} the", f'{notice} (the "License"); you may not use this file.', f"{prose(1, 9)} {notice}\nthe License"):
+        assert [(f[1], f[2]) for f in S.Scanner().scan([text])] == [("Apache-2.0-notice", 1.0)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=8), min_size=1, max_size=4), st.lists(st.integers(0, 3), max_size=14))
+def test_runs_that_cannot_be_extended_match_brute_force(sequences, text):
+    names = {f"t{k}": " ".join(f"x{w}" for w in s) for k, s in enumerate(sequences)}
+    got = S.Scanner(names, 2).matches(S.T.word_hashes(" ".join(f"x{w}" for w in text)).tolist(), 5)
+    want = set()
+    for k, s in enumerate(sequences):
+        for x in range(len(text)):
+            for y in range(len(s)):
+                n = 0
+                while x + n < len(text) and y + n < len(s) and text[x + n] == s[y + n]:
+                    n += 1
+                if n >= 2 and not (x and y and text[x - 1] == s[y - 1]):
+                    want.add((k, x + 5, y, n))
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_edge_cases(spark, edge_docs, no_docs):
     assert S.scan(edge_docs).count() == 0 and S.scan(no_docs).count() == 0
     notice = spark.createDataFrame([(None, "Released under the MIT License."), (1, "Released under the MIT License."), (1, "Released under the MIT License."), (2, "released  UNDER\nthe mit-license " * 2)], "doc_id BIGINT, text STRING")
