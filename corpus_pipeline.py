@@ -24,8 +24,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near copies; documents without n-grams stay."""
-    return ngram_join.keep_one(docs)
+    """One document, that of the least id, of each group of near copies; documents without words stay."""
+    return ngram_join.keep_one(docs, short=True)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_groups(table(spark, sf_dir, "documents"))
+    return ngram_join.near_groups(table(spark, sf_dir, "documents"), short=True)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
