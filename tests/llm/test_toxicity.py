@@ -6,48 +6,80 @@ from rillstone.llm import toxicity as X
 from tests.llm.conftest import prose
 
 
-def plain_score(text, lexicon):
-    """The grammar's meaning, written out for a clause as loops over its words."""
-    total = 0.0
-    for clause in X._CLAUSE.split((text or "").lower()):
-        target = state = 0
-        negated, reported, quoted = 0, False, False
-        for token in X._SYMBOL.findall(clause):
-            symbol, weight = (X.QUOTE, 0.0) if token in "\"“”«»„" else lexicon.symbol(token)
-            factor = (0.1 if negated else 1.0) * (0.3 if reported or quoted else 1.0)
+def plain_matches(clause, lexicon):
+    """The grammar's meaning, written out for a clause as looks back from each word."""
+    seen, out = [], []  # (symbol, word number) so far; quotation marks aren't words
+    quoted = reported = False
+    number = 0
+    for token in X._SYMBOL.findall(clause):
+        symbols, weight = ((X.QUOTE,), 0.0) if token in "\"“”«»„" else lexicon.symbols(token)
+        for symbol in symbols:
+            value = 0.0
+            words = [s for s, _ in seen]
             if symbol == X.INSULT:
-                total += factor * weight * (1.5 if target else 1.0)
-                state = state if target or state == "threat" else "insult"
+                back = words[::-1]
+                person = bool(back) and (back[0] in (X.YOU, X.THIRD) or back[0] == X.NEGATION and next((s for s in back if s != X.NEGATION), None) in (X.YOU, X.THIRD))
+                for k, s in enumerate(back[:4]):
+                    if s in (X.INSULT, X.YOU, X.THIRD):
+                        break
+                    if s == X.COPULA:
+                        rest = [x for x in back[k + 1 :]]
+                        while rest and rest[0] == X.NEGATION:
+                            rest.pop(0)
+                        person = person or bool(rest) and rest[0] in (X.YOU, X.THIRD)
+                        if person:
+                            break
+                value = weight * 0.6 * (1.5 if person else 1.0)
             elif symbol == X.THREAT:
-                total += factor * (1.0 if target else 0.2)
-                state = state if target else "threat"
-            elif symbol == X.TARGET:
-                if not target:
-                    total += factor * {"insult": 0.5, "threat": 0.8}.get(state, 0.0)
-                target = 1
-            negated = 3 if symbol == X.NEGATION else negated if symbol == X.QUOTE else max(0, negated - 1)
-            if symbol == X.REPORT and not quoted:
-                reported = True
+                last = next((k for k, s in enumerate(words[::-1]) if s in (X.INTENT, X.THREAT)), None)
+                value = weight * (0.4 if last is not None and last < 3 and words[::-1][last] == X.INTENT else 0.1)
+            elif symbol in (X.YOU, X.THIRD):
+                for k, s in enumerate(words[::-1][:3]):
+                    if s == X.THREAT:
+                        before = words[::-1][k + 1 :]
+                        last = next((j for j, x in enumerate(before) if x in (X.INTENT, X.THREAT)), None)
+                        value += 0.7 if last is not None and last < 3 and before[last] == X.INTENT else 0.2
+                        break
+                    if s in (X.YOU, X.THIRD, X.INTENT):
+                        break
+                if symbol == X.YOU and words and words[-1] == X.INSULT:
+                    value += 0.55
+            if X.NEGATION in words[::-1][:3]:
+                value *= 0.1
+            if reported or quoted:
+                value *= 0.3
+            if value > 0:
+                out.append(value)
             if symbol == X.QUOTE:
                 quoted, reported = not quoted, False
-    return total
+            else:
+                seen.append((symbol, number))
+                number += 1
+                reported = reported or symbol == X.REPORT and not quoted
+    return out
 
 
 def test_machine_matches_plain_loops():
     r = random.Random(4)
-    words = ["you", "idiot", "kill", "not", "never", "said", '"', "moron", "them", "tree", "walks", ".", "\n", ",", "blorpish"]
+    words = ["you", "he", "is", "will", "idiot", "kill", "not", "never", "said", '"', "moron", "them", "tree", "walks", ",", "blorpish", "you're", "trash"]
     lexicon = X.Lexicon({"blorp": 0.8})
-    for _ in range(400):
-        text = " ".join(r.choice(words) for _ in range(r.randrange(0, 25)))
-        # clauses without an insult or threat score nothing by either
-        assert lexicon.score(text)[0] == pytest.approx(plain_score(text, lexicon)), text
+    for _ in range(3000):
+        text = " ".join(r.choice(words) for _ in range(r.randrange(0, 12)))
+        assert [v for _, v in lexicon.clause(text)] == pytest.approx(plain_matches(text, lexicon)), text
+        values = plain_matches(text, lexicon)
+        rest = 1.0
+        for v in sorted(values)[-X.TOGETHER :]:
+            rest *= 1 - min(v, 1.0)
+        assert lexicon.score(text)[0] == pytest.approx(1 - rest if any(w in text for w in ("idiot", "kill", "moron", "blorp", "trash")) else 0.0), text
 
 
 def test_clauses_not_isolated_words():
     s = lambda t: X.Lexicon().score(t)[0]
-    assert s("you idiot") > s("an idiot") > s("she said an idiot came") > s("not an idiot") > 0
-    assert s("i will kill you") > s("kill the process") and s("a tree grows") == 0
-    assert s("IDIOT!! idiot$$$") == 2.0 and s("idiotic pathology") == 0
+    toxic = ("you idiot", "You are such a moron!", "these vermin", "an idiot and a moron", "Idiot, you!", "I will kill you", "we're gonna hurt them", "What an idiot. What a moron.", "IDIOT!! idiot$$$", "They're filth.")
+    clean = ("The trash was collected on Monday.", "He made a stupid mistake in the budget.", "The trash was collected. He made a stupid mistake.", "an idiot", "kill the process", "They beat them in the final. They beat us.", "you are not an idiot", "he said 'you' and called her an idiot and a moron", 'She wrote "you are an idiot, you moron" in red', "not an idiot. " * 500, "I won't hurt you", "she was hurt", "a tree grows", "idiotic pathology")
+    assert [t for t in toxic if s(t) < X.THRESHOLD] == [] and [t for t in clean if s(t) >= X.THRESHOLD] == []
+    assert s("you idiot") > s("an idiot") > s("she said an idiot came") > s("not an idiot") > 0 and s("a tree grows") == 0
+    assert s("idiot. " + "word " * 5000 + "moron.") == s("idiot") and s("idiot. " + "word " * 50 + "moron.") >= X.THRESHOLD
 
 
 @pytest.fixture(scope="module")
@@ -75,6 +107,27 @@ def test_held_out_accuracy_of_learned_stems(spark, labelled):
     assert isinstance(bounded, X.Lexicon)
 
 
+def test_better_than_a_bag_of_words(spark):
+    """Labels that words alone can't explain: half of the clean documents deny, report or use the words of things."""
+    r = random.Random(17)
+    bad = ["you are an idiot", "these morons", "what scum, what vermin", "I will kill you", "you stupid loser"]
+    fine = ["you are not an idiot", "she said they are morons", "kill the old process", "the trash was full", 'he wrote "you loser" there', "a stupid rule"]
+    rows = []
+    for i in range(400):
+        words = prose(i, 80).replace("\n", " ").split(" ")
+        for _ in range(r.randrange(1, 3)):
+            words.insert(r.randrange(len(words)), ". " + r.choice(bad if i % 4 == 0 else fine) + " .")
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    docs, labels = spark.createDataFrame([x[:2] for x in rows], "doc_id BIGINT, text STRING"), spark.createDataFrame([(i, t) for i, _, t in rows if i < 200], "doc_id BIGINT, toxic INT")
+    lexicon = X.learn(docs, labels)
+    held = rows[200:]
+    grammar = [(lexicon.score(t)[0] >= X.THRESHOLD, bool(toxic)) for _, t, toxic in held]
+    bag = [(sum(max(lexicon.learned.get(w, 0), X.INSULTS.get(w, 0), X.THREATS.get(w, 0)) for w in t.lower().split()), bool(toxic)) for _, t, toxic in held]
+    right = sum(a == b for a, b in grammar) / len(held)
+    best = max(sum((v >= cut) == b for v, b in bag) / len(held) for cut in sorted({v for v, _ in bag}))
+    assert right >= 0.97 and right > best + 0.05, (right, best)
+
+
 def test_edge_cases(spark, edge_docs, no_docs):
     labels = spark.createDataFrame([(None, 1), (1, None), (4, 0), (4, 1), (5, 2), (99, 1)], "doc_id BIGINT, toxic INT")
     lexicon = X.learn(edge_docs, labels)
@@ -87,4 +140,5 @@ def test_edge_cases(spark, edge_docs, no_docs):
     assert kept.columns == edge_docs.columns and kept.count() == edge_docs.count()
     assert X.scores(both, lexicon).where("toxic").count() == 2
     assert X.scores(no_docs, lexicon).count() == 0 and X.without_toxic(no_docs, lexicon).count() == 0
-    assert lexicon.score("x " * 300_000 + "idiot. " + "y " * 300_000) == (1.0, 1)
+    long = lexicon.score("x " * 300_000 + "idiot. " + "y " * 300_000)
+    assert long == (pytest.approx(X.INSULT_ALONE), 1)
