@@ -5,8 +5,8 @@ packs by themselves. The others are spread by hash over cells of about
 CELL pieces, and each cell is packed by ISLANDS populations. A crossover injects
 well-filled whole packs of one parent into the other, takes out the packs that
 hold a piece twice, and places the displaced pieces by best fit, longest first.
-After each epoch every island sends its best packings to the next one of its
-cell; at the end the best packing of all islands counts: fewest packs, then the
+After each epoch but the last every island sends its best packings to the next
+one of its cell, where they evolve on; at the end the best packing of all islands counts: fewest packs, then the
 greatest sum of squared fills.
 
 A cell's work depends on the cell alone, so cost follows the number of
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from rillstone.llm._common import cut
 
 CAPACITY = 2048
-CELL, ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITE = 2000, 3, 2, 6, 6, 2
+CELL, ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITE = 2000, 3, 3, 4, 6, 2
 _STATE = "cell long, island int, role string, blob binary"
 _STATE_SCHEMA = pa.schema([("cell", pa.int64()), ("island", pa.int32()), ("role", pa.string()), ("blob", pa.binary())])
 
@@ -101,7 +101,7 @@ def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, rng
     return [p for _, _, p in ranked]
 
 
-def _epoch(table: pa.Table, capacity: int, epoch: int, islands: int, generations: int, size: int) -> pa.Table:
+def _epoch(table: pa.Table, capacity: int, epoch: int, islands: int, generations: int, size: int, migrants: int) -> pa.Table:
     cell, island = table["cell"][0].as_py(), table["island"][0].as_py()
     roles, blobs = table["role"].to_pylist(), table["blob"].to_pylist()
     items = next(b for r, b in zip(roles, blobs) if r == "items")
@@ -111,12 +111,12 @@ def _epoch(table: pa.Table, capacity: int, epoch: int, islands: int, generations
     ranked = evolve(lengths, population, capacity, rng, generations, size)
     rows = [(cell, island, "items", items)]
     rows += [(cell, island, f"member{k}", p.astype(np.int32).tobytes()) for k, p in enumerate(ranked)]
-    rows += [(cell, (island + 1) % islands, f"migrant{k}", p.astype(np.int32).tobytes()) for k, p in enumerate(ranked[:ELITE])]
+    rows += [(cell, (island + 1) % islands, f"migrant{k}", p.astype(np.int32).tobytes()) for k, p in enumerate(ranked[:migrants])]
     return pa.Table.from_pylist([dict(zip(_STATE_SCHEMA.names, r)) for r in rows], _STATE_SCHEMA)
 
 
-def _stepper(capacity: int, epoch: int, islands: int, generations: int, population: int) -> Callable[[pa.Table], pa.Table]:
-    return lambda table: _epoch(table, capacity, epoch, islands, generations, population)
+def _stepper(capacity: int, epoch: int, islands: int, generations: int, population: int, migrants: int) -> Callable[[pa.Table], pa.Table]:
+    return lambda table: _epoch(table, capacity, epoch, islands, generations, population, migrants)
 
 
 def _best(table: pa.Table, capacity: int) -> pa.Table:
@@ -127,11 +127,21 @@ def _best(table: pa.Table, capacity: int) -> pa.Table:
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, first_token, n_tokens): each row of docs in pieces of at most ``capacity`` tokens."""
+    """(doc_id, n, copy, piece, first_token, n_tokens): each row of docs in pieces of at most ``capacity`` tokens.
+
+    n is the row's number of tokens; rows that share doc_id (or have none) and n are numbered by copy, so the
+    first four columns tell all pieces apart, and are the same however often a task runs.
+    """
     counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_count(F.col("text").cast("string"), F.lit(r"\S+")).cast("long").alias("n")).where("n > 0")
-    cuts = counted.withColumn("piece", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / capacity).cast("int"))))
+    rows = counted.groupBy("doc_id", "n").agg(F.count("*").alias("rows")).select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("copy"))
+    cuts = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / capacity).cast("int"))))
     first = F.col("piece").cast("long") * capacity
-    return cuts.select("doc_id", "piece", first.alias("first_token"), F.least(F.lit(capacity).cast("long"), F.col("n") - first).cast("int").alias("n_tokens"))
+    return cuts.select("doc_id", "n", "copy", "piece", first.alias("first_token"), F.least(F.lit(capacity).cast("long"), F.col("n") - first).cast("int").alias("n_tokens"))
+
+
+def in_cells(all_pieces: DataFrame, cells: int) -> DataFrame:
+    """The pieces with the cell that packs them, by a hash of all that tells them apart: repeated rows spread too."""
+    return all_pieces.withColumn("cell", F.pmod(F.xxhash64("doc_id", "n", "copy", "piece"), F.lit(cells)).cast("long"))
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, cell: int = CELL, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION) -> DataFrame:
@@ -146,10 +156,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, cell: int = CELL, islands: i
     all_pieces = cut(pieces(docs, capacity), "pieces")
     count = all_pieces.where(F.col("n_tokens") < capacity).count()
     cells = max(1, -(-count // cell))
-    placed = all_pieces.withColumn("cell", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(cells)).cast("long"))
-    whole = placed.where(F.col("n_tokens") == capacity).select(F.concat_ws("-", F.lit("full"), F.col("doc_id"), F.col("piece")).alias("pack_id"), F.lit(0).alias("slot"), "doc_id", "piece", "first_token", "n_tokens")
+    placed = in_cells(all_pieces, cells)
+    whole = placed.where(F.col("n_tokens") == capacity).select(F.concat_ws("-", F.lit("full"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "n", "copy", "piece").alias("pack_id"), F.lit(0).alias("slot"), "doc_id", "piece", "first_token", "n_tokens")
     part = placed.where(F.col("n_tokens") < capacity)
-    by_cell = part.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("n_tokens", "doc_id", "piece", "first_token"))).alias("items"))
+    by_cell = part.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("n_tokens", "doc_id", "piece", "first_token", "n", "copy"))).alias("items"))
     by_cell = cut(by_cell, "cells")
     to_bytes = by_cell.mapInArrow(_lengths, "cell long, blob binary")
     state = to_bytes.select("cell", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.lit("items").alias("role"), "blob")
@@ -157,11 +167,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, cell: int = CELL, islands: i
     for epoch in range(epochs):
         # a cell's rows are few bytes but much work: left to itself, adaptive execution would put all cells into one task
         state = state.repartition(tasks, "cell", "island")
-        state = state.groupBy("cell", "island").applyInArrow(_stepper(capacity, epoch, islands, generations, population), _STATE)
+        state = state.groupBy("cell", "island").applyInArrow(_stepper(capacity, epoch, islands, generations, population, ELITE if epoch + 1 < epochs else 0), _STATE)
         state = cut(state, "islands")
     best = state.groupBy("cell").applyInArrow(lambda t: _best(t, capacity), "cell long, packs array<int>")
     rows = by_cell.join(best, "cell").select("cell", F.posexplode(F.arrays_zip("items", "packs")).alias("at", "x"))
-    rows = rows.select(F.concat_ws("-", "cell", "x.packs").alias("pack_id"), "at", "x.items.*")
+    rows = rows.select(F.concat_ws("-", "cell", "x.packs").alias("pack_id"), "at", "x.items.doc_id", "x.items.piece", "x.items.first_token", "x.items.n_tokens")
     slots = rows.groupBy("pack_id").agg(F.array_sort(F.collect_list(F.struct("at", "doc_id", "piece", "first_token", "n_tokens"))).alias("s"))
     slots = slots.select("pack_id", F.posexplode("s").alias("slot", "x")).select("pack_id", "slot", "x.doc_id", "x.piece", "x.first_token", "x.n_tokens")
     return slots.unionByName(whole)

@@ -74,6 +74,30 @@ def test_crossover_keeps_pieces_and_capacity():
         assert len(a) == 300 and a.min() == 0 and np.bincount(a, weights=lengths).max() <= 100
 
 
+def test_repeated_rows_and_rows_without_an_id_over_capacity(spark):
+    rows = [(None, prose(1, 25)), (None, prose(2, 25)), (None, prose(3, 31)), (7, prose(4, 25)), (7, prose(4, 25)), (7, prose(5, 45)), (8, prose(6, 10)), (8, prose(6, 10))]
+    got = P.pack(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), 10).collect()
+    check(got, rows, 10)
+    assert len({(x["pack_id"], x["slot"]) for x in got}) == len(got)
+
+
+def test_equal_rows_spread_over_cells(spark):
+    for key in ("CAST(NULL AS BIGINT)", "7L"):
+        docs = spark.range(100_000).selectExpr(f"{key} AS doc_id", "'three words here' AS text")
+        sizes = [x["count"] for x in P.in_cells(P.pieces(docs), 50).groupBy("cell").count().collect()]
+        assert len(sizes) == 50 and sum(sizes) == 100_000 and max(sizes) < 2400
+
+
+def test_migrants_evolve():
+    from pyarrow import Table
+
+    lengths = np.random.default_rng(2).integers(1, 99, 50).astype(np.int32)
+    state = Table.from_pylist([{"cell": 0, "island": 0, "role": "items", "blob": lengths.tobytes()}], P._STATE_SCHEMA)
+    first, last = P._epoch(state, 100, 0, 3, 2, 4, P.ELITE), P._epoch(state, 100, 1, 3, 2, 4, 0)
+    assert sum(r.startswith("migrant") for r in first["role"].to_pylist()) == P.ELITE and set(first.filter([r.startswith("migrant") for r in first["role"].to_pylist()])["island"].to_pylist()) == {1}
+    assert not any(r.startswith("migrant") for r in last["role"].to_pylist())
+
+
 def test_edge_cases(spark, edge_docs, no_docs):
     rows = P.pack(edge_docs).collect()
     check(rows, [(x["doc_id"], x["text"]) for x in edge_docs.collect()], P.CAPACITY)
