@@ -52,11 +52,14 @@ def sweep(spark: SparkSession) -> None:
 def buckets(df: DataFrame, each_mb: int = 32, most: int = 1 << 20) -> int:
     """How many parts a shuffle of df's size needs so that one fits a task: by the plan's size, at least shuffle.partitions.
 
-    Spark says exabytes where it doesn't know; from a petabyte on its word isn't taken.
+    Spark says exabytes where it doesn't know; from a petabyte on, the sizes of the tables that the plan reads count instead.
     """
     spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    size = 0 if size >= 1 << 50 else size
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    if size >= 1 << 50:
+        leaves = plan.collectLeaves()
+        size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(most, -(-size // (each_mb << 20))))
 
 
