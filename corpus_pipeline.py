@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without blocks of lines that an earlier one has; those that lose all their lines go."""
-    return line_dedup.line_dedup(docs, drop_emptied=True, runs=True)
+    return line_dedup.line_dedup(docs, drop_emptied=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +29,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark; null and empty texts stay, repeated rows stand or fall alike, an empty table gives an empty one."""
     return decontaminate.without_matches(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All tokens of all documents, in packs."""
+    """All tokens of all documents, in packs; null and empty texts have none, repeated rows are packed each, an empty table gives an empty one."""
     return packing.pack(docs)
 
 
@@ -51,6 +51,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. Rows without a doc_id or text pass the filters and are packed if they have tokens; rows that share a doc_id are one document to the stages that compare documents; an empty table gives no packs."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)
