@@ -3,7 +3,8 @@
 No Python string is made: a batch is lower-cased by Arrow, its bytes are split
 where a byte isn't part of a word, and every word gets a 64-bit polynomial hash
 from running sums, so a text of any length is processed whole. A word is a
-maximal run of ASCII letters, digits, ``_`` and characters beyond ASCII.
+maximal run of ASCII letters, digits, ``_`` and characters beyond ASCII; in scripts without blanks between words
+(Chinese, Japanese, Thai, Lao, Khmer, Burmese) each character is a word.
 """
 
 from __future__ import annotations
@@ -87,9 +88,24 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def _characters(part: np.ndarray) -> np.ndarray:
+    """First and end bytes of the characters of scripts without blanks between words."""
+    at = np.flatnonzero((part >= 0xE0) & (part <= 0xE9))
+    at = at[at + 2 < len(part)]
+    if not len(at):
+        return at
+    lead, then = part[at], part[at + 1]
+    at = at[(lead >= 0xE3) | (lead == 0xE0) & (then >= 0xB8) & (then <= 0xBB) | (lead == 0xE1) & ((then <= 0x82) | (then == 0x9E) | (then == 0x9F))]
+    return np.unique(np.concatenate([at, at + 3]))
+
+
 def words(values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and end byte (among all rows' bytes) of each word, and the offsets of the rows in these."""
-    data, offsets = raw(values)
+    return tokens(*raw(values), _WORD)
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same of maximal runs of bytes that the table says belong to one."""
     hashes, firsts, lasts, counts = [], [], [], []
     row, n = 0, len(offsets) - 1
     while row < n:
@@ -97,10 +113,10 @@ def words(values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         until = min(until, n)
         low, high = offsets[row], offsets[until]
         part = data[low:high]
-        member = _WORD[part]
+        member = table[part]
         starts, ends = _spans(member)
         bounds = offsets[row : until + 1] - low
-        cuts = bounds[1:-1]
+        cuts = np.concatenate([bounds[1:-1], _characters(part)])
         cuts = np.unique(cuts[(cuts > 0) & (cuts < len(part))])
         cuts = cuts[member[cuts] & member[cuts - 1]]
         if len(cuts):  # a word must not run over from a row into the next

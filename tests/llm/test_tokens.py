@@ -7,7 +7,8 @@ from hypothesis import strategies as st
 
 from rillstone.llm import _tokens as T
 
-WORD = re.compile("[0-9a-z_\u0080-\U0010ffff]+")
+UNSPACED = "\u0e00-\u0eff\u1000-\u10bf\u1780-\u17ff\u3000-\u9fff"
+WORD = re.compile(f"[{UNSPACED}]|(?:(?![{UNSPACED}])[0-9a-z_\u0080-\U0010ffff])+")
 
 
 @settings(max_examples=60, deadline=None)
@@ -63,3 +64,8 @@ def test_sweep_removes_what_cut_wrote(spark):
     _common.sweep(spark)
     assert not os.path.exists(path)
     _common._written[:] = [p for p in kept if "/sweep-" not in p]
+
+
+def test_scripts_without_blanks():
+    hashes, starts, ends, offsets = T.words(T.column(["東京は today ไทย 한국어 é", "京"]))
+    assert np.diff(offsets).tolist() == [3 + 1 + 3 + 1 + 1, 1] and hashes[1] == hashes[-1]
