@@ -1,16 +1,18 @@
 """Line dedup by pairwise alignment.
 
-Every line that is long enough to be telling is hashed, and with ``runs``, as
-the query and the pipeline have it, every least run of adjacent lines that reaches MIN_WORDS words: from each line on, and up to
-each line. A line or run that several documents hold links each of them to the
-first document that holds it, so one in a million documents makes a million
-pairs, not its square. With ``runs`` all repeats are still covered: each line of a block that
-is common with any earlier document lies in a least run within the block, and
-the first holder of that run is aligned. The two documents of a pair are aligned
-by patience diff on their lines' hashes; runs of lines that are common to both
-in order, of at least MIN_WORDS words, are deleted from the later one; what is
-left is aligned again, for blocks that moved; common runs that the order of the
-alignments still missed are looked up at last.
+Overlapping documents are found through the hashes of lines that they share:
+of single lines that are rare (at most RARE documents hold them), and of runs
+of adjacent lines, which are rare where their lines aren't: from each line on,
+and up to each line, the least run that reaches MIN_WORDS words. A hash that
+several documents hold links each of them to the first document that holds it,
+so one in a million documents makes a million pairs, not its square. All
+repeats are covered nevertheless: each line of a block that is common with any
+earlier document lies in a least run within the block, and the first holder of
+that run is aligned. The two documents of a pair are aligned by patience diff
+on their lines' hashes; runs of lines that are common to both in order, of at
+least MIN_WORDS words, are deleted from the later one; what is left is aligned
+again, for blocks that moved; common runs that the order of the alignments
+still missed are looked up at last.
 
 Only hashes move until the end: one row per document with its lines' hashes and
 lengths. The texts are joined with the deletions once.
@@ -32,8 +34,10 @@ from rillstone.llm._common import cut, fresh
 
 #: Blocks under MIN_WORDS words stay: headings, signatures, stock phrases.
 MIN_WORDS = 30
-#: A line of fewer words links no documents, though it is deleted within a block.
-SEED_WORDS = 4
+#: A single line of fewer words, or that more documents hold, links none by itself, though it is deleted within a block.
+SEED_WORDS, RARE = 4, 64
+#: In scripts without blanks between words each character counts as one.
+_UNSPACED = "[\u0e00-\u0eff\u1000-\u10bf\u1780-\u17ff\u3000-\u9fff]"
 
 
 def _anchors(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
@@ -158,38 +162,47 @@ def _align(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "text_hash", "gone"])
 
 
-def _links(batches: Iterator[pa.RecordBatch], min_words: int, seed_words: int, runs: bool) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], min_words: int, seed_words: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, line, run): the hashes of the documents' lines, and of their least runs."""
     for batch in batches:
         lines, offsets = batch["lines"].flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(batch["lines"].value_lengths().to_numpy(), dtype=np.int64)])
         words = batch["words"].flatten().to_numpy().astype(np.int64)
-        starts, ends = least_runs(words, offsets, min_words) if runs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        long = np.flatnonzero(words >= seed_words)
+        starts, ends = least_runs(words, offsets, min_words)
+        long = np.flatnonzero((words >= seed_words) & (words < min_words))
         several = ends - starts > 1  # of one line, its own hash links
-        single = starts[~several][words[starts[~several]] < seed_words]
+        single = starts[~several]
         starts, ends = starts[several], ends[several]
         at = np.concatenate([long, single, starts])
         links = np.concatenate([lines[long], lines[single], T.span_hashes(lines, starts, ends)]).view(np.int64)
         row = np.searchsorted(offsets, at, "right") - 1
-        yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(row)), pa.array(links, pa.int64())], ["doc_id", "line"])
+        order = np.lexsort((links, row))
+        order = order[np.concatenate([[True], (row[order][1:] != row[order][:-1]) | (links[order][1:] != links[order][:-1])])] if len(order) else order
+        yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(row[order])), pa.array(links[order], pa.int64()), pa.array(order >= len(long))], ["doc_id", "line", "run"])
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def deletions(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS, runs: bool = False) -> DataFrame:
-    """(doc_id, text_hash, gone): the numbers, from 0, of the lines to delete from each document."""
+def _words(line: Column, apart: Column) -> Column:
+    spaced = F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1
+    return F.when(line == "", 0).otherwise(F.when(apart, spaced + F.regexp_count(line, F.lit(_UNSPACED))).otherwise(spaced))
+
+
+def deletions(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS, rare: int = RARE) -> DataFrame:
+    """(doc_id, text_hash, gone): the numbers, from 0, of the lines to delete from each document. See line_dedup()."""
     text = F.col("text").cast("string")
     trimmed = F.transform(_lines(text), lambda x: F.trim(x))
     per = docs.where(F.col("doc_id").isNotNull() & text.isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64(text).alias("text_hash"),
         F.transform(trimmed, lambda x: F.xxhash64(x)).alias("lines"),
-        F.transform(trimmed, lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1)).alias("words"),
+        F.transform(trimmed, lambda x: _words(x, text.rlike(_UNSPACED))).alias("words"),
     )
     per = cut(per.groupBy("doc_id").agg(F.max_by(F.struct("text_hash", "lines", "words"), "text_hash").alias("s")).select("doc_id", "s.*"), "lines")
-    telling = per.select("doc_id", "lines", "words").mapInArrow(lambda it: _links(it, min_words, seed_words, runs), "doc_id long, line long")
-    first = telling.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    telling = per.select("doc_id", "lines", "words").mapInArrow(lambda it: _links(it, min_words, seed_words), "doc_id long, line long, run boolean")
+    held = telling.groupBy("line").agg(F.min("doc_id").alias("first"), F.count("*").alias("docs"), F.max("run").alias("run"))
+    first = held.where((F.col("docs") > 1) & (F.col("run") | (F.col("docs") <= rare))).select("line", "first")
     pairs = telling.join(first, "line").where("doc_id > first").select("doc_id", "first").distinct()
     earlier = per.select(F.col("doc_id").alias("first"), F.col("lines").alias("first_lines"))
     both = pairs.join(per, "doc_id").join(earlier, "first").select("doc_id", "text_hash", "first_lines", "lines", "words")
@@ -197,21 +210,19 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEE
     return found.groupBy("doc_id", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS, drop_emptied: bool = False, runs: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS, drop_emptied: bool = False) -> DataFrame:
     """docs with repeated blocks of lines deleted from all but the first document (by doc_id) that holds them.
 
     All columns stay; n_chars, where there is one, is counted anew for changed
     texts. A document that lost all its lines keeps an empty text, or goes with
-    ``drop_emptied``. Without ``runs`` a document is compared with the first
-    holders of its single lines only, which misses blocks whose lines stand
-    earlier in other documents. Rows without an id or a text are left as they are. Rows
+    ``drop_emptied``. Rows without an id or a text are left as they are. Rows
     that share an id are one document: of different texts one alone is compared
     (that of the greatest hash) and changed, equal ones change alike. Lines are
     compared without the blanks around them; repeats within one document stay.
     An empty table gives an empty one.
     """
     own, text_hash, lines = fresh(docs, "__id", "__hash", "__gone")
-    gone = deletions(docs, min_words, seed_words, runs).select(F.col("doc_id").alias(own), F.col("text_hash").alias(text_hash), F.col("gone").alias(lines))
+    gone = deletions(docs, min_words, seed_words).select(F.col("doc_id").alias(own), F.col("text_hash").alias(text_hash), F.col("gone").alias(lines))
     text = docs["text"].cast("string")
     joined = docs.join(gone, (docs["doc_id"].cast("long") == gone[own]) & (F.xxhash64(text) == gone[text_hash]), "left")
     left = F.array_join(F.filter(_lines(F.col("text").cast("string")), lambda x, i: ~F.array_contains(F.col(lines), i)), "\n")

@@ -23,21 +23,20 @@ def test_patience_finds_blocks():
     assert L.common_blocks(a, b, [1] * 5, 3) == [1, 2, 3] and L.common_blocks(a, b, [1] * 5, 4) == []
 
 
-def brute(rows, min_words, seed_words):
-    """Each later document against the first holder of each of its lines, all documents in memory."""
-    texts = {}
-    for i, t in rows:
-        texts[i] = t
-    lines = {i: [x.strip(" ") for x in t.split("\n")] for i, t in texts.items() if t is not None}
+def whole(rows, min_words=L.MIN_WORDS):
+    """Every document against every earlier one: all lines in any common run of at least min_words words go."""
+    texts = {i: t for i, t in rows if t is not None}
+    lines = {i: [x.strip(" ") for x in t.split("\n")] for i, t in texts.items()}
     count = lambda x: 0 if x == "" else x.count(" ") + 1
+    runs = {i: {tuple(x[s:e]) for s in range(len(x)) for e in range(s + 1, len(x) + 1)} for i, x in lines.items()}
     out = {}
-    for i in sorted(lines):
+    for i, x in lines.items():
         gone = set()
-        firsts = {min(j for j in lines if x in lines[j]) for x in lines[i] if count(x) >= seed_words}
-        for j in firsts - {i}:
-            number = {x: k for k, x in enumerate(sorted({*lines[i], *lines[j]}))}
-            gone |= set(L.common_blocks([number[x] for x in lines[j]], [number[x] for x in lines[i]], [count(x) for x in lines[i]], min_words))
-        out[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in gone)
+        for s in range(len(x)):
+            for e in range(s + 1, len(x) + 1):
+                if sum(map(count, x[s:e])) >= min_words and any(j < i and tuple(x[s:e]) in runs[j] for j in lines):
+                    gone |= set(range(s, e))
+        out[i] = "\n".join(y for k, y in enumerate(texts[i].split("\n")) if k not in gone)
     return out
 
 
@@ -50,34 +49,35 @@ def test_same_as_brute_force(spark):
         for _ in range(r.randrange(3)):
             parts.insert(r.randrange(len(parts) + 1), r.choice(blocks) if r.random() < 0.8 else "short line here now")
         rows.append((i, "\n".join(parts)))
-    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
-    got = {x["doc_id"]: x["text"] for x in L.line_dedup(docs).collect()}
-    want = brute(rows, L.MIN_WORDS, L.SEED_WORDS)
-    assert got == want and any(want[i] != t for i, t in rows)
+    got = {x["doc_id"]: x["text"] for x in L.line_dedup(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
+    assert got == whole(rows) and any(got[i] != t for i, t in rows)
     for b in blocks:  # a passage stays in one document at most
         assert sum(b in t for t in got.values()) <= 1
 
 
-def whole(rows, min_words):
-    """Every document against every earlier one: all lines in any common run of at least min_words words go."""
-    lines = {i: t.split("\n") for i, t in rows}
-    count = lambda x: 0 if x == "" else x.count(" ") + 1
-    runs = {i: {tuple(x[s:e]) for s in range(len(x)) for e in range(s + 1, len(x) + 1)} for i, x in lines.items()}
-    out = {}
-    for i, x in lines.items():
-        gone = set()
-        for s in range(len(x)):
-            for e in range(s + 1, len(x) + 1):
-                if sum(map(count, x[s:e])) >= min_words and any(j < i and tuple(x[s:e]) in runs[j] for j in lines):
-                    gone |= set(range(s, e))
-        out[i] = "\n".join(y for k, y in enumerate(x) if k not in gone)
-    return out
+def test_lines_that_many_hold(spark):
+    """More than RARE documents hold the lines of the block, each first seen in another document."""
+    lines = [prose(50 + k, 12, 12) for k in range(3)]
+    rows = [(k, prose(k, 40) + "\n" + lines[k]) for k in range(3)] + [(i, "\n".join(lines) if i % 9 == 0 else r_line(i, lines)) for i in range(3, 120)]
+    got = {x["doc_id"]: x["text"] for x in L.line_dedup(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
+    assert got == whole(rows) and got[9] == "\n".join(lines) and got[18] == ""
+
+
+def r_line(i, lines):
+    return lines[i % 3] + "\n" + prose(1000 + i, 20, 20)
+
+
+def test_scripts_without_blanks(spark):
+    block = "\n".join("これは長い行です、たくさんの文字があります" for _ in range(1)) + "\n次の行もまた長いので数えます"
+    rows = [(1, block), (2, "別の文章\n" + block)]
+    got = {x["doc_id"]: x["text"] for x in L.line_dedup(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
+    assert got == {1: block, 2: "別の文章"}
 
 
 def test_block_of_lines_that_stand_singly_before(spark):
     a, b = prose(1, 25, 25), prose(2, 25, 25)
     rows = [(1, a), (2, b), *((i, a + "\n" + b) for i in range(3, 40))]
-    got = {x["doc_id"]: x["text"] for x in L.line_dedup(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), runs=True).collect()}
+    got = {x["doc_id"]: x["text"] for x in L.line_dedup(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
     assert got == whole(rows, L.MIN_WORDS) and got[3] == rows[2][1] and got[39] == ""
 
 
@@ -85,7 +85,7 @@ def test_same_as_each_document_against_every_earlier_one(spark):
     r = random.Random(8)
     stock = [prose(300 + k, n, n) for k, n in enumerate([1, 2, 3, 5, 8, 12, 14, 17, 20, 25, 29, 31])] + [""]
     rows = [(i, "\n".join(r.choices(stock, k=r.randrange(1, 9)))) for i in range(150)]
-    got = {x["doc_id"]: x["text"] for x in L.line_dedup(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), runs=True).collect()}
+    got = {x["doc_id"]: x["text"] for x in L.line_dedup(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
     assert got == whole(rows, L.MIN_WORDS)
 
 

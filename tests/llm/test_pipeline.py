@@ -11,7 +11,7 @@ from rillstone.llm import queries
 from rillstone.llm import toxicity as X
 from rillstone.llm._tokens import word_hashes
 from tests.llm.conftest import WORDS, prose
-from tests.llm.test_line_dedup import brute
+from tests.llm.test_line_dedup import whole
 from tests.llm.test_ngram_join import brute_groups, edited
 from tests.llm.test_packing import check
 
@@ -50,7 +50,7 @@ def test_run_matches_brute_force(spark, corpus):
     lexicon = X.learn(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
     left = [d for d in docs if lexicon.score(d[1])[0] < X.THRESHOLD]
     assert {i for i, _ in docs} - {i for i, _ in left} == {i for i in range(160) if i % 8 == 4}
-    deduped = brute([d for d in left if d[0] is not None], L.MIN_WORDS, L.SEED_WORDS)
+    deduped = whole([d for d in left if d[0] is not None])
     left = [(i, t if i is None or t is None else deduped[i]) for i, t in left]
     before = dict(docs)
     left = [(i, t) for i, t in left if not (i is not None and t is not None and t != before[i] and not t.strip())]
