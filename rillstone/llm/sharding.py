@@ -49,10 +49,13 @@ def shard(hashed: Column, shards: int) -> Column:
 
 
 def assign(df: DataFrame, keys: list[str], shards: int = SHARDS, name: str = "shard") -> DataFrame:
-    """df with a shard for each row. Rows of equal keys share a shard; null keys count as empty; all rows and columns stay (a column of that name is replaced)."""
+    """df with a shard for each row. Rows of equal keys share a shard; null keys count as empty; all rows and columns stay (a column of that name is replaced); an empty table gives an empty one."""
     return df.withColumn(name, shard(key_hash(*(F.col(f"`{k}`") for k in keys)), shards))
 
 
 def write_shards(df: DataFrame, path: str, keys: list[str], shards: int = SHARDS) -> None:
-    """Writes df as Parquet, one folder for each shard; rows are moved once, to the task that writes their shard."""
+    """Writes df as Parquet, one folder for each shard; rows are moved once, to the task that writes their shard.
+
+    Null keys count as empty, so their rows share a shard; repeated rows are all written; an empty table writes no shard.
+    """
     assign(df, keys, shards).repartition("shard").write.partitionBy("shard").mode("overwrite").parquet(path)

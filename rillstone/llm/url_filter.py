@@ -8,8 +8,8 @@ universe is then listed or not by the parity of the first level that lacks it.
 Keys are spread over buckets by hash, each with its own cascade, so building is
 one shuffle of two 64-bit hashes per key at any number of keys. Testing doesn't
 join: filters of up to BROADCAST_MB go to all executors and keys are tested
-where they are; beyond that, keys go to the task that holds their bucket's
-cascade.
+where they are; beyond that, rows go to the task that holds their bucket's
+cascade, once, and are tested as they pass.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from rillstone.llm import _tokens as T
 from rillstone.llm._common import cut, fresh
@@ -127,7 +128,11 @@ class Cascade:
         return cls(cut(made, "cascade"), buckets)
 
     def mark(self, df: DataFrame, key: Column, name: str = "listed", broadcast_mb: float = BROADCAST_MB) -> DataFrame:
-        """df with a column that says whether the row's key is listed; a null key isn't. All rows and columns stay; exact for keys of the universe."""
+        """df with a column that says whether the row's key is listed; a null key isn't.
+
+        All rows and columns stay (a column of that name is replaced), repeated rows too; exact for keys of the universe;
+        an empty table gives an empty one, and with no listed keys nothing is.
+        """
         size = self.filters.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
         h1, h2, bucket = fresh(df, "__h1", "__h2", "__bucket")
         hashed = [x.alias(n) for x, n in zip(_hashes(key.cast("string")), (h1, h2))]
@@ -142,11 +147,35 @@ class Cascade:
                 return pd.Series(_test_all(cascades, b.to_numpy(), _u64(x), _u64(y)))
 
             return df.withColumn(name, F.coalesce(key.isNotNull() & listed(_bucket(hashed[0], self.buckets), *hashed), F.lit(False)))
-        keyed = df.select("*", *hashed).withColumn(bucket, F.when(key.isNotNull(), _bucket(F.col(h1), self.buckets)).otherwise(F.lit(-1)))
-        keys = keyed.where(F.col(bucket) >= 0).select(F.col(bucket).alias("bucket"), F.col(h1).alias("h1"), F.col(h2).alias("h2")).distinct()
-        answers = keys.groupBy("bucket").cogroup(self.filters.groupBy("bucket")).applyInArrow(_answer, "h1 long, h2 long").select(F.col("h1").alias(h1), F.col("h2").alias(h2), F.lit(True).alias(name + "_"))
-        out = keyed.drop(*([name] if name in df.columns else [])).join(answers, [h1, h2], "left").withColumn(name, F.coalesce(F.col(name + "_"), F.lit(False)) & (F.col(bucket) >= 0))
-        return out.select(*[c for c in df.columns if c != name], name)
+        # beyond that, rows go to their bucket's task, where its filters come before them: one shuffle, no join
+        row, at, bits = fresh(df, "__row", "__at", "__bits")
+        spread = F.pmod(F.monotonically_increasing_id(), F.lit(self.buckets)).cast("int")  # a null key asks nothing, so any bucket will do
+        rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c != name)).alias(row), *hashed, key.isNotNull().alias(at))
+        rows = rows.select(row, F.when(F.col(at), _bucket(F.col(h1), self.buckets)).otherwise(spread).alias(bucket), F.when(F.col(at), F.col(h1)).alias(h1), F.col(h2), F.lit(1).alias(at), F.lit(None).cast("binary").alias(bits))
+        filters = self.filters.select(F.lit(None).cast(rows.schema[row].dataType).alias(row), F.col("bucket").alias(bucket), F.col("m").alias(h1), F.col("k").cast("long").alias(h2), (F.col("level") - 1000).alias(at), F.col("bits").alias(bits))
+        both = filters.unionByName(rows).repartition(bucket).sortWithinPartitions(bucket, at)
+        tested = both.mapInArrow(lambda it: _routed(it, row, bucket, h1, h2, at, bits, name), StructType([StructField(row, rows.schema[row].dataType), StructField(name, BooleanType())]))
+        return tested.select(*[F.col(f"`{row}`.`{c}`").alias(c) for c in df.columns if c != name], name)
+
+
+def _routed(batches: Iterator[pa.RecordBatch], row: str, bucket: str, h1: str, h2: str, at: str, bits: str, name: str) -> Iterator[pa.RecordBatch]:
+    """Rows with their answers, from rows sorted by bucket, a bucket's filters first; at is 1 for a row, the level less 1000 for a filter."""
+    now, levels = None, []
+    for batch in batches:
+        owner, kinds = batch[bucket].to_numpy(), batch[at].to_numpy()
+        out = np.zeros(batch.num_rows, bool)
+        cuts = [0, *(np.flatnonzero(np.diff(owner)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if owner[a] != now:
+                now, levels = owner[a], []
+            for i in (a + np.flatnonzero(kinds[a:b] != 1)).tolist():
+                levels.append(Bloom(int(kinds[i]) + 1000, batch[h1][i].as_py(), batch[h2][i].as_py(), batch[bits][i].as_py()))
+            ask = a + np.flatnonzero((kinds[a:b] == 1) & batch[h1].slice(a, b - a).is_valid().to_numpy(zero_copy_only=False))
+            if len(ask) and levels:
+                keys = pa.array(ask)
+                out[ask] = test(levels, _u64(batch[h1].take(keys)), _u64(batch[h2].take(keys)))
+        rows = pa.array(np.flatnonzero(kinds == 1))
+        yield pa.RecordBatch.from_arrays([batch[row].take(rows), pa.array(out).take(rows)], [row, name])
 
 
 def _test_all(cascades: dict[int, list[Bloom]], bucket: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -155,10 +184,3 @@ def _test_all(cascades: dict[int, list[Bloom]], bucket: np.ndarray, h1: np.ndarr
         at = np.flatnonzero(bucket == b)
         out[at] = test(cascades.get(int(b), []), h1[at], h2[at])
     return out
-
-
-def _answer(keys: pa.Table, filters: pa.Table) -> pa.Table:
-    levels = sorted((Bloom(r["level"], r["m"], r["k"], r["bits"]) for r in filters.to_pylist()), key=lambda x: x.level)
-    h1, h2 = keys["h1"].to_numpy(), keys["h2"].to_numpy()
-    hit = test(levels, _u64(h1), _u64(h2)) if len(h1) else np.zeros(0, bool)
-    return pa.table({"h1": pa.array(h1[hit], pa.int64()), "h2": pa.array(h2[hit], pa.int64())})
