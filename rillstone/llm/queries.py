@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,9 +53,11 @@ def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ways = ((tiff_writer.NONE, 1, 0), (tiff_writer.PACKBITS, 1, 0), (tiff_writer.LZW, 2, 0), (tiff_writer.DEFLATE, 2, 16))
     for batch in batches:
         files = []
-        for key, vector in zip(batch["vec_id"].to_pylist(), batch["embedding"].to_pylist()):
-            width = max(1, int(len(vector or []) ** 0.5))
-            values = np.array((vector or [])[: len(vector or []) // width * width], np.float64).reshape(-1, width)
+        flat = batch["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch["embedding"]), 0).to_numpy(zero_copy_only=False))
+        for key, start, end in zip(batch["vec_id"].to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
+            width = max(1, int((end - start) ** 0.5))
+            values = flat[start : start + (end - start) // width * width].reshape(-1, width)
             if not values.size:
                 files.append(None)
                 continue
@@ -72,7 +75,7 @@ def op7_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), runs=True)
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

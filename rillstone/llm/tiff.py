@@ -21,9 +21,13 @@ from pyspark.sql import functions as F
 from rillstone.llm._common import fresh
 
 _TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
+_SIZES = {k: struct.calcsize("<" + form) for k, form in _TYPES.items()}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 #: A page that claims more bytes than this is refused, so that a forged header can't take an executor's memory.
 MOST_BYTES = 1 << 30
+#: Pages go on as soon as they have so many bytes of pixels.
+FLUSH_BYTES = 1 << 26
+_TURNED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 PAGE = "page int, width int, height int, samples int, bits int, sample_format int, compression int, predictor int, photometric int, pixels binary, error string"
 
 
@@ -56,36 +60,75 @@ def unpack_bits(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+def lzw_widths(count: int) -> np.ndarray:
+    """Bits of each of the codes that follow a clear code: the table grows by one a code, and widths change one code early."""
+    return np.minimum(9 + np.searchsorted([511, 1023, 2047], 258 + np.arange(count) - 1, "right"), 12)
+
+
+_LZW_FIRST = [bytes([i]) for i in range(256)] + [b"", b""]
+_LZW_MOST = 1 << 12
+_LZW_WIDTHS = lzw_widths(_LZW_MOST)
+_LZW_ENDS = np.cumsum(_LZW_WIDTHS)
+#: Of so few bytes, codes are cut out of one integer.
+_LZW_SMALL = 256
+_LZW_SPANS = [(e, (1 << w) - 1) for e, w in zip(_LZW_ENDS.tolist(), _LZW_WIDTHS.tolist())]
+
+
+def _lzw_codes(raw: np.ndarray, at: int, count: int) -> np.ndarray:
+    """Up to so many codes from bit ``at`` on, as they follow a clear code; raw ends with two bytes of padding."""
+    widths, ends = (_LZW_WIDTHS[:count], _LZW_ENDS[:count]) if count <= _LZW_MOST else ((w := lzw_widths(count)), np.cumsum(w))
+    count = int(np.searchsorted(ends, (len(raw) - 2) * 8 - at, "right"))
+    widths, ends = widths[:count], ends[:count]
+    bit = at + ends - widths
+    byte = bit >> 3
+    three = raw[byte].astype(np.int32) << 16 | raw[byte + 1].astype(np.int32) << 8 | raw[byte + 2]
+    return three >> (24 - (bit & 7) - widths) & ((1 << widths) - 1)
+
+
 def unpack_lzw(data: bytes, size: int) -> bytes:
-    """TIFF's LZW: codes of 9 to 12 bits, high bit first, that widen one code early."""
-    first = [bytes([i]) for i in range(256)] + [b"", b""]
-    table, out, length = first[:], [], 0
-    width, held, bits, before, i = 9, 0, 0, b"", 0
+    """TIFF's LZW: codes of 9 to 12 bits, high bit first, that widen one code early. Between clear codes all widths are known, so codes are cut out in one go."""
+    small = len(data) <= _LZW_SMALL
+    raw = int.from_bytes(data, "big") if small else np.concatenate([np.frombuffer(data, np.uint8), np.zeros(2, np.uint8)])
+    out, length, at = [], 0, 0
     while length < size:
-        while bits < width:
-            if i >= len(data):
-                return b"".join(out)
-            held, bits, i = (held << 8 | data[i]) & 0xFFFFFF, bits + 8, i + 1
-        code = held >> (bits - width) & ((1 << width) - 1)
-        bits -= width
-        if code == 257:
-            break
-        if code == 256:
-            table, width, before = first[:], 9, b""
-            continue
-        if code < len(table):
-            entry = table[code]
-        elif code == len(table) and before:
-            entry = before + before[:1]
+        if small:
+            codes, end = [], 257
+            left = 8 * len(data) - at
+            for e, mask in _LZW_SPANS:
+                if e > left:
+                    break
+                code = raw >> (left - e) & mask
+                if code == 256 or code == 257:
+                    at, end = at + e, code
+                    break
+                codes.append(code)
         else:
-            raise ValueError(f"LZW code {code} isn't in the table")
-        out.append(entry)
-        length += len(entry)
-        if before:
-            table.append(before + entry[:1])
-        before = entry
-        if len(table) + 1 >= 1 << width and width < 12:
-            width += 1
+            found = _lzw_codes(raw, at, min(_LZW_MOST, size - length + 2))
+            stop = np.flatnonzero(found >> 1 == 128)
+            if not len(stop) and len(found) == _LZW_MOST:  # a writer that doesn't clear its table
+                found = _lzw_codes(raw, at, size - length + 2)
+                stop = np.flatnonzero(found >> 1 == 128)
+            end = 257
+            if len(stop):
+                at, end, found = at + int(lzw_widths(int(stop[0]) + 1).sum()), int(found[stop[0]]), found[: stop[0]]
+            codes = found.tolist()
+        table, before = _LZW_FIRST[:], b""
+        for code in codes:
+            if code < len(table):
+                entry = table[code]
+            elif code == len(table) and before:
+                entry = before + before[:1]
+            else:
+                raise ValueError(f"LZW code {code} isn't in the table")
+            out.append(entry)
+            length += len(entry)
+            if before:
+                table.append(before + entry[:1])
+            before = entry
+            if length >= size:
+                break
+        if end == 257:
+            break
     return b"".join(out)
 
 
@@ -159,19 +202,22 @@ class _File:
         at += struct.calcsize("<" + count_form)
         self.get("B", at + count * entry - 1 if count else at)
         tags = {}
-        for k in range(count):
-            tag, kind = self.get("HH", at + k * entry)
-            n = self.get(word, at + k * entry + 4)[0]
+        inline = 8 if self.big else 4
+        for tag, kind, n, place in struct.iter_unpack(f"{self.order}HH{word}{inline}s", self.data[at : at + count * entry]):
             form = _TYPES.get(kind)
             if form is None:
                 continue
-            size = struct.calcsize("<" + form) * n
-            place = at + k * entry + 4 + struct.calcsize("<" + word)
-            if size > struct.calcsize("<" + word):
-                place = self.get(word, place)[0]
+            size = _SIZES[kind] * n
             if size > len(self.data):
                 raise ValueError(f"tag {tag} is longer than the file")
-            tags[tag] = self.get(form[0] * (n * len(form)), place)
+            form = f"{self.order}{n * len(form)}{form[0]}"
+            if size <= inline:
+                tags[tag] = struct.unpack_from(form, place)
+            else:
+                (start,) = struct.unpack(self.order + word, place)
+                if start + size > len(self.data):
+                    raise ValueError(f"the file ends before byte {start + size}")
+                tags[tag] = struct.unpack_from(form, self.data, start)
         return tags, self.get(word, at + count * entry)[0]
 
     def page(self, tags: dict[int, tuple], page: Page) -> None:
@@ -196,6 +242,7 @@ class _File:
             raise ValueError("no strips or tiles")
         if block_width * block_height * per * size > MOST_BYTES:
             raise ValueError("a tile is too large")
+        turned = one(266, 1) == 2
         planes = per if planar == 2 else 1
         across, down = -(-width // block_width), -(-height // block_height)
         if len(starts) < planes * across * down:
@@ -209,7 +256,8 @@ class _File:
             need = rows * ((block_width * in_block * bits + 7) // 8)
             if starts[k] + counts[k] > len(self.data):
                 raise ValueError("a strip or tile is beyond the file's end")
-            data = _unpack(self.data[starts[k] : starts[k] + counts[k]], page.compression, need)
+            stored = self.data[starts[k] : starts[k] + counts[k]]
+            data = _unpack(stored.translate(_TURNED) if turned else stored, page.compression, need)
             block = _samples(data, rows, block_width, in_block, bits, page.sample_format, page.predictor, self.order)
             if out is None:
                 out = np.zeros((height, width, per), block.dtype)
@@ -218,42 +266,64 @@ class _File:
         page.pixels = out.tobytes()
 
 
-def read_pages(data: bytes | None) -> list[Page]:
-    """The pages of a file; a null, empty or foreign one gives one row that says so."""
+def read_pages(data: bytes | None) -> Iterator[Page]:
+    """The pages of a file, one at a time; a null, empty or foreign one gives one row that says so."""
     if data is None:
-        return [Page(error="null")]
+        yield Page(error="null")
+        return
     try:
         file = _File(data)
-        at, seen, out = file.first, set(), []
     except ValueError as e:
-        return [Page(error=str(e))]
+        yield Page(error=str(e))
+        return
+    at, seen = file.first, set()
+    if not at:
+        yield Page(error="no directory")
     while at:
-        page = Page(len(out))
-        out.append(page)
+        page = Page(len(seen))
+        if at in seen:
+            page.error = "the directories form a ring"
+            yield page
+            return
+        seen.add(at)
         try:
-            if at in seen:
-                raise ValueError("the directories form a ring")
-            seen.add(at)
             tags, at = file.directory(at)
         except (ValueError, struct.error) as e:
             page.error = str(e)
-            break
+            yield page
+            return
         try:
             file.page(tags, page)
         except (ValueError, TypeError, OverflowError, MemoryError, struct.error, zlib.error) as e:
             page.error = str(e)
-    return out or [Page(error="no directory")]
+        yield page
 
 
 def _decode(batches: Iterator[pa.RecordBatch], column: str, kept: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     fields = list(Page.__dataclass_fields__)
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            pages = [(i, p) for i, v in enumerate(part[column]) for p in read_pages(v.as_py())]
-            rows = pa.array([i for i, _ in pages], pa.int64())
-            made = [pa.array([getattr(p, f) for _, p in pages], schema.field(len(kept) + k).type) for k, f in enumerate(fields)]
-            yield pa.RecordBatch.from_arrays([part[c].take(rows) for c in kept] + made, schema=schema)
+        rows: list[int] = []
+        held: list[Page] = []
+        size = 0
+
+        def flush(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+            made = [pa.array([getattr(p, f) for p in held], schema.field(len(kept) + k).type) for k, f in enumerate(fields)]
+            out = pa.RecordBatch.from_arrays([batch[c].take(pa.array(rows, pa.int64())) for c in kept] + made, schema=schema)
+            rows.clear()
+            held.clear()
+            return out
+
+        for i in range(batch.num_rows):
+            for page in read_pages(batch[column][i].as_py()):
+                more = len(page.pixels or b"")
+                if held and (size + more > FLUSH_BYTES or len(held) >= 4096):
+                    yield flush()
+                    size = 0
+                rows.append(i)
+                held.append(page)
+                size += more
+        if held:
+            yield flush()
 
 
 def pages(df: DataFrame, column: str = "media") -> DataFrame:
@@ -261,8 +331,10 @@ def pages(df: DataFrame, column: str = "media") -> DataFrame:
 
     pixels holds the samples row by row, low byte first, a byte each for samples
     of under 8 bits. Null or malformed files give one row with a null page and
-    an error; a damaged page keeps what was read of its directory. A column of
-    df named like one of the page's gets ``source_`` before its name.
+    an error; a damaged page keeps what was read of its directory, as does one of
+    over MOST_BYTES. Repeated rows are decoded each; an empty table gives an empty
+    one. A column of df named like one of the page's gets ``source_`` before its
+    name. A task holds one file, one page, and FLUSH_BYTES of pixels.
     """
     names = PAGE.split(", ")
     taken = {n.split()[0] for n in names}

@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 
-from rillstone.llm.tiff import DEFLATE, LZW, NONE, OLD_DEFLATE, PACKBITS
+from rillstone.llm.tiff import DEFLATE, LZW, NONE, OLD_DEFLATE, PACKBITS, lzw_widths
 
 
 def pack_bits(data: bytes) -> bytes:
@@ -28,44 +28,37 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
+_FIRST = {bytes([i]): i for i in range(256)}
+
+
 def pack_lzw(data: bytes) -> bytes:
-    held, bits, out = 0, 0, bytearray()
-
-    def put(code: int, width: int) -> None:
-        nonlocal held, bits
-        held, bits = held << width | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits & 255)
-            held &= (1 << bits) - 1
-
-    table = {bytes([i]): i for i in range(256)}
-    count, width, now = 258, 9, b""
-    put(256, 9)
+    codes, table, widths = [256], dict(_FIRST), [np.full(1, 9)]
+    since, now = 0, b""
     for i in range(len(data)):
         more = now + data[i : i + 1]
         if more in table:
             now = more
             continue
-        put(table[now], width)
-        table[more] = count
-        count += 1
-        if count + 1 > 1 << width:
-            width += 1
-        if count >= 4093:
-            put(256, min(width, 12))
-            table = {bytes([k]): k for k in range(256)}
-            count, width = 258, 9
+        codes.append(table[now])
+        since += 1
+        table[more] = 257 + since
         now = data[i : i + 1]
+        if 258 + since >= 4093:
+            codes.append(256)
+            widths.append(lzw_widths(since + 1))
+            table, since = dict(_FIRST), 0
     if now:
-        put(table[now], width)
-        count += 1
-        if count + 1 > 1 << width and width < 12:
-            width += 1
-    put(257, width)
-    if bits:
-        out.append(held << (8 - bits) & 255)
-    return bytes(out)
+        codes.append(table[now])
+        since += 1
+    codes.append(257)
+    if len(codes) < 250:  # all of 9 bits
+        bits = 0
+        for code in codes:
+            bits = bits << 9 | code
+        return (bits << -9 * len(codes) % 8).to_bytes(-(-9 * len(codes) // 8), "big")
+    width = np.concatenate([*widths, lzw_widths(since + 1)])
+    bits = (np.array(codes)[:, None] >> (width[:, None] - 1 - np.arange(12)).clip(0)) & 1
+    return np.packbits(bits.astype(np.uint8)[np.arange(12) < width[:, None]]).tobytes()
 
 
 _PACK = {NONE: bytes, PACKBITS: pack_bits, LZW: pack_lzw, DEFLATE: zlib.compress, OLD_DEFLATE: zlib.compress}
