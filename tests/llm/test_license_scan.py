@@ -1,5 +1,7 @@
 import random
+import time
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -95,3 +97,25 @@ def test_edge_cases(spark, edge_docs, no_docs):
     got = S.scan(edge_docs.unionByName(notice, allowMissingColumns=True)).collect()
     assert sorted((x["doc_id"] or 0, x["first_word"]) for x in got) == [(0, 0), (1, 0), (1, 0), (2, 0), (2, 5)]
     assert list(S.Scanner({}).scan(["mit license"])) == []
+
+
+def test_long_texts_of_licence_words_take_linear_time():
+    r = random.Random(4)
+    words = [w for t in S.TEMPLATES.values() for w in t.split()]
+    scanner = S.Scanner()
+
+    def took(n):
+        text = " ".join(" ".join(words[i : i + 6]) for i in (r.randrange(len(words) - 6) for _ in range(n // 6)))
+        began = time.process_time()
+        list(scanner.scan(pa.array([text])))
+        return time.process_time() - began
+
+    took(1000)
+    assert took(48_000) < 16 * took(6000)
+
+
+def test_templates_from_files(spark, tmp_path):
+    (tmp_path / "House-1.0.txt").write_text("You may use the frobnicator on every second Tuesday if it rains.")
+    scanner = S.Scanner(S.read_templates(spark, str(tmp_path)))
+    docs = spark.createDataFrame([(1, "x y you may use the frobnicator on every second tuesday, if it rains z")], "doc_id BIGINT, text STRING")
+    assert [(x["doc_id"], x["template"], x["coverage"]) for x in S.scan(docs, scanner).collect()] == [(1, "House-1.0", 1.0)]
