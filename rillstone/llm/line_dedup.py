@@ -184,9 +184,11 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _words(line: Column, apart: Column) -> Column:
-    spaced = F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1
-    return F.when(line == "", 0).otherwise(F.when(apart, spaced + F.regexp_count(line, F.lit(_UNSPACED))).otherwise(spaced))
+def _words(lines: Column, text: Column) -> Column:
+    """The numbers of words of the lines; the text is looked through once for scripts without blanks."""
+    spaced = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1
+    plain = F.transform(lines, lambda x: F.when(x == "", 0).otherwise(spaced(x)))
+    return F.when(text.rlike(_UNSPACED), F.transform(lines, lambda x: F.when(x == "", 0).otherwise(spaced(x) + F.regexp_count(x, F.lit(_UNSPACED))))).otherwise(plain)
 
 
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS, rare: int = RARE) -> DataFrame:
@@ -197,7 +199,7 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEE
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64(text).alias("text_hash"),
         F.transform(trimmed, lambda x: F.xxhash64(x)).alias("lines"),
-        F.transform(trimmed, lambda x: _words(x, text.rlike(_UNSPACED))).alias("words"),
+        _words(trimmed, text).alias("words"),
     )
     per = cut(per.groupBy("doc_id").agg(F.max_by(F.struct("text_hash", "lines", "words"), "text_hash").alias("s")).select("doc_id", "s.*"), "lines")
     telling = per.select("doc_id", "lines", "words").mapInArrow(lambda it: _links(it, min_words, seed_words), "doc_id long, line long, run boolean")
