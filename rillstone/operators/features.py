@@ -252,15 +252,29 @@ def rolling(df: DataFrame, ev: Events, days: int, columns: dict[str, Column]) ->
 
 
 def at_times(df: DataFrame, points: DataFrame, ev: Events = Events(), point_time: str = "as_of", days: tuple[int, ...] = (1, 7, 30)) -> DataFrame:
-    """User features as of each (entity, point in time): all points in one join and aggregate, never reading the future.
+    """User features as of each (entity, point in time), never reading the future.
 
-    points holds the entity's column and point_time. Points without events have zeros.
+    points holds the entity's column and point_time. Points without events have
+    zeros. Events are summed by day once, so many points don't multiply them:
+    two shuffles, by entity and day, and by entity.
     """
-    video, watch = ev.is_video(), F.col(ev.watch)
-    want = points.select(F.col(ev.entity).alias("__e"), F.col(point_time)).distinct()
-    joined = want.join(df, (F.col("__e") == F.col(ev.entity)) & (F.col(ev.time) <= F.col(point_time)), "left")
-    old = age(ev.time, F.col(point_time))
-    aggs = [F.count(ev.time).alias("total_events"), total(watch, video).alias("watch_time_total")]
+    video, watch, day, own = ev.is_video(), F.col(ev.watch), "__day", "__own"
+    number = lambda t: F.datediff(F.to_date(t), F.lit("1970-01-01").cast("date"))
+    values = {"events": F.lit(1).cast("long"), "watch": F.when(video, watch.cast("double")), "videos": F.when(video & F.col(ev.item).isNotNull(), 1).otherwise(0).cast("long")}
+    happened = df.where(F.col(ev.entity).isNotNull() & F.col(ev.time).isNotNull()).select(F.col(ev.entity), F.col(ev.time).alias("__t"), F.lit(False).alias("__point"), *[v.alias(f"__{k}") for k, v in values.items()])
+    asked = points.select(F.col(ev.entity), F.col(point_time).alias("__t"), F.lit(True).alias("__point")).distinct()
+    both = happened.unionByName(asked, allowMissingColumns=True).withColumn(day, number("__t"))
+    # a point's own day up to its time, then whole days before: the second window's rows are a day or a point each
+    so_far = Window.partitionBy(ev.entity, day).orderBy("__t").rangeBetween(Window.unboundedPreceding, 0)
+    both = both.withColumns({f"{own}_{k}": F.sum(f"__{k}").over(so_far) for k in values})
+    daily = both.groupBy(ev.entity, day, F.when(F.col("__point"), F.col("__t")).alias(point_time), "__point").agg(*[F.sum(f"__{k}").alias(f"__{k}") for k in values], *[F.max(f"{own}_{k}").alias(f"{own}_{k}") for k in values])
+    by_day = Window.partitionBy(ev.entity).orderBy(day)
+
+    def upto(k: str, n: int | None) -> Column:
+        before = F.sum(f"__{k}").over(by_day.rangeBetween(Window.unboundedPreceding if n is None else -n, -1))
+        return F.coalesce(before, F.lit(0)) + F.coalesce(F.col(f"{own}_{k}"), F.lit(0))
+
+    made = {"total_events": upto("events", None), "watch_time_total": upto("watch", None)}
     for n in days:
-        aggs += [total(watch, video & (old <= n)).alias(f"watch_time_{n}d"), F.count_if(video & F.col(ev.item).isNotNull() & (old <= n)).alias(f"video_count_{n}d")]
-    return joined.groupBy(F.col("__e").alias(ev.entity), point_time).agg(*aggs)
+        made |= {f"watch_time_{n}d": upto("watch", n), f"video_count_{n}d": upto("videos", n)}
+    return daily.withColumns(made).where("__point").select(ev.entity, point_time, *made)

@@ -95,6 +95,18 @@ def quality_report(df: DataFrame, features: list[str], reference: DataFrame | No
     return out.withColumn("overall", overall).withColumn("ok", c("overall") >= threshold)
 
 
+def score_rows(df: DataFrame, features: list[str], exact: bool = False) -> DataFrame:
+    """df with null_share and outlier_share, of the row's features, and row_quality, 1 less half of either; the quartiles are a broadcast row for each feature."""
+    p = profile(df, features, exact)
+    spread = F.col("q75") - F.col("q25")
+    bounds = p.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct((F.col("q25") - 1.5 * spread).alias("low"), (F.col("q75") + 1.5 * spread).alias("high"))))).alias("__b"))
+    x = lambda c: F.col(f"`{c}`").cast("double")
+    missing = sum((F.when(x(c).isNull() | F.isnan(x(c)), 1.0).otherwise(0.0) for c in features), F.lit(0.0))
+    beyond = sum((F.when((x(c) < F.element_at("__b", F.lit(c))["low"]) | (x(c) > F.element_at("__b", F.lit(c))["high"]), 1.0).otherwise(0.0) for c in features), F.lit(0.0))
+    scored = df.crossJoin(F.broadcast(bounds)).withColumns({"null_share": missing / len(features), "outlier_share": beyond / len(features)})
+    return scored.withColumn("row_quality", 1 - 0.5 * F.col("null_share") - 0.5 * F.col("outlier_share")).drop("__b")
+
+
 def recommendations(report: DataFrame) -> DataFrame:
     """What to do about each feature of a quality report."""
     advice = F.filter(

@@ -44,24 +44,30 @@ def _scaled(df, columns, totals, formula, suffix) -> DataFrame:
     return df.crossJoin(F.broadcast(one)).withColumns(made).drop(*one.columns)
 
 
-def normalize(df: DataFrame, columns: list[str], way: str = "zscore") -> DataFrame:
-    """df with ``{c}_normalized``: zscore, minmax or robust (median and quartiles); 0 where the column has no spread."""
+def _percentiles(x: Column, points: tuple[float, ...], exact: bool) -> Column:
+    """Exact ones hold a count of every distinct value; a sketch is right to a rank in ten thousand."""
+    at = F.array(*map(F.lit, points))
+    return F.percentile(x, at) if exact else F.percentile_approx(x, at, F.lit(10_000))
+
+
+def normalize(df: DataFrame, columns: list[str], way: str = "zscore", exact: bool = True) -> DataFrame:
+    """df with ``{c}_normalized``: zscore, minmax or robust (median and quartiles); 0 where the column has no spread. Without ``exact`` quartiles are of a sketch of bounded size."""
     if way == "zscore":
         return _scaled(df, columns, {"m": F.avg, "s": F.stddev_samp}, lambda x, t: _score(x, t("m"), t("s")), "normalized")
     if way == "minmax":
         return _scaled(df, columns, {"lo": F.min, "hi": F.max}, lambda x, t: _score(x, t("lo"), t("hi") - t("lo")), "normalized")
     if way == "robust":
-        quartiles = {"q": lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))}
+        quartiles = {"q": lambda c: _percentiles(c, (0.25, 0.5, 0.75), exact)}
         return _scaled(df, columns, quartiles, lambda x, t: _score(x, t("q")[1], t("q")[2] - t("q")[0]), "normalized")
     raise ValueError(f"no such way: {way}")
 
 
-def distribution(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+def distribution(df: DataFrame, columns: list[str], by: list[str] | None = None, exact: bool = True) -> DataFrame:
     """Pearson's median skewness over three, and the spread of the 5th to 95th percentile, both in standard deviations; and the moments themselves."""
     made = []
     for c in columns:
         x = _q(c)
-        p = F.percentile(x, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
+        p = _percentiles(x, (0.05, 0.5, 0.95), exact)
         width = F.stddev_samp(x)
         made += [_score(F.avg(x), p[1], width).alias(f"{c}_skewness"), _score(p[2], p[0], width).alias(f"{c}_kurtosis"), F.kurtosis(x).alias(f"{c}_kurtosis_moment")]
     return df.groupBy(*(by or [])).agg(*made)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rillstone.plans import clean_queries, feature_queries  # noqa: F401  they register themselves
+from rillstone.plans import clean_queries, feature_queries, lake_queries  # noqa: F401  they register themselves
 from rillstone.plans.base import ORACLES, QUERIES
 
 

@@ -73,10 +73,10 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [c for c, t in df.dtypes if t in ("int", "bigint", "double", "float", "smallint", "tinyint")]
 
 
-def run_gold(silver: DataFrame, path: str, date: str | None = None, as_of: Column | None = None, threshold: float = 0.8, mode: str = "append") -> dict[str, DataFrame]:
+def run_gold(silver: DataFrame, path: str, date: str | None = None, as_of: Column | None = None, threshold: float = 0.8, mode: str = "append", kinds: tuple[str, ...] = tuple(FEATURES), ev: features.Events = features.Events()) -> dict[str, DataFrame]:
     """Writes the feature tables, and gives a quality report of each."""
     reports = {}
-    for kind, df in gold(silver, as_of=as_of).items():
+    for kind, df in gold(silver, kinds, ev, as_of).items():
         sink.write_features(df, f"{path}/{kind}", kind, date, mode)
         stored = silver.sparkSession.read.parquet(f"{path}/{kind}")
         reports[kind] = quality.quality_report(stored, numeric_columns(df), threshold=threshold)
@@ -90,6 +90,26 @@ def backfill(events: DataFrame, points: DataFrame, ev: features.Events = feature
     return features.at_times(events, points, ev, point_time)
 
 
+def backfill_incremental(events: DataFrame, path: str, until: str, start: str | None = None, ev: features.Events = features.Events()) -> int:
+    """Appends user features as of each day's beginning, from the day after the last one stored (or from ``start``, else the first event's day) until ``until``; gives the number of days.
+
+    Days are stored in their order of partitions, so a run that broke off goes on after the last whole day.
+    """
+    spark = events.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stored = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    last = spark.read.parquet(path).agg(F.max("as_of").cast("date")).first()[0] if stored else None
+    if last is None and start is None:
+        start = events.agg(F.min(ev.time).cast("date").cast("string")).first()[0]
+    first = F.date_add(F.lit(last).cast("date"), 1) if last is not None else F.lit(start).cast("date")
+    days = spark.range(1).select(F.explode(F.when(first <= F.lit(until).cast("date"), F.sequence(first, F.lit(until).cast("date"))).otherwise(F.array().cast("array<date>"))).alias("as_of")).select(F.col("as_of").cast("timestamp_ntz"))
+    count = days.count()
+    if count:
+        points = events.select(ev.entity).where(F.col(ev.entity).isNotNull()).distinct().crossJoin(F.broadcast(days))  # a row a day
+        sink.write(backfill(events, points, ev).withColumn("as_of_date", F.to_date("as_of")), path, ("as_of_date",))
+    return count
+
+
 def training_set(labelled: DataFrame, feature_table: DataFrame, on: list[str], label_time: str, feature_time: str, columns: list[str], tolerance: Column | None = None) -> DataFrame:
     """Labelled events with the features that were known at their time."""
     return joins.as_of(labelled, feature_table, on, label_time, feature_time, columns, tolerance)
@@ -108,9 +128,15 @@ class FeatureStore:
         return joins.as_of(entities, self.spark.read.parquet(f"{self.path}/{name}"), on, time, time, columns, tolerance, prefix=f"{name}_")
 
     def materialize(self, name: str, on: list[str], start: str, end: str, time: str = "event_timestamp") -> None:
-        """The latest rows within dates become the online table."""
+        """The latest rows within dates become the online table: a new version beside the one that is served, which readers take once it is whole."""
         rows = self.spark.read.parquet(f"{self.path}/{name}").where(F.col("feature_date").between(start, end))
-        sink.write(joins.latest(rows, on, time), f"{self.path}/{name}__online", mode="overwrite")
+        sink.write(joins.latest(rows, on, time), f"{self.path}/{name}__online/version={len(self._versions(name)):08d}")
+
+    def _versions(self, name: str) -> list[str]:
+        """The versions that are whole, oldest first; Spark marks a whole table with _SUCCESS."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}__online/version=*/_SUCCESS")
+        found = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(at) or []
+        return sorted(str(s.getPath().getParent()) for s in found)
 
     def online(self, name: str, keys: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
-        return keys.join(self.spark.read.parquet(f"{self.path}/{name}__online").select(*on, *columns), on, "left")
+        return keys.join(self.spark.read.parquet(self._versions(name)[-1]).select(*on, *columns), on, "left")

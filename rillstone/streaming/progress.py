@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import pathlib
+import time
 
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -53,26 +53,55 @@ def checkpoint_path(base: str, job: str) -> str:
     return f"{base.rstrip('/')}/{job}"
 
 
-def committed_batches(checkpoint: str) -> list[int]:
-    """Numbers of the batches that a local checkpoint says are done."""
-    return sorted(int(p.name) for p in (pathlib.Path(checkpoint) / "commits").glob("*") if p.name.isdigit())
+def _batches(spark: SparkSession, checkpoint: str, kind: str) -> tuple[object, dict[int, object]]:
+    """The file system of a checkpoint, and the files of a folder of it by batch; whatever file system Hadoop knows."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/{kind}")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.listStatus(folder) if fs.exists(folder) else []
+    return fs, {int(s.getPath().getName()): s.getPath() for s in found if s.getPath().getName().isdigit()}
 
 
-def last_offsets(checkpoint: str) -> list[dict] | None:
-    """Source offsets of the last batch in a local checkpoint (its folder ``offsets``); None where there is none."""
-    batches = sorted((int(p.name), p) for p in (pathlib.Path(checkpoint) / "offsets").glob("*") if p.name.isdigit())
-    if not batches:
+def committed_batches(spark: SparkSession, checkpoint: str) -> list[int]:
+    """Numbers of the batches that a checkpoint says are done."""
+    return sorted(_batches(spark, checkpoint, "commits")[1])
+
+
+def last_offsets(spark: SparkSession, checkpoint: str) -> list[dict] | None:
+    """Source offsets of the last batch that a checkpoint planned; None where there is none."""
+    fs, files = _batches(spark, checkpoint, "offsets")
+    if not files:
         return None
-    return [json.loads(x) for x in batches[-1][1].read_text().split("\n")[2:] if x and x != "-"]
+    stream = fs.open(files[max(files)])
+    try:
+        text = bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+    return [json.loads(x) for x in text.split("\n")[2:] if x and x != "-"]
 
 
-def starting_offset(strategy: str, checkpoint: str | None = None, fallback: str = "latest") -> str:
-    """Either earliest or latest; with ``checkpoint`` Spark resumes by itself where there is one, else the fallback holds."""
+def starting_offset(strategy: str, checkpoint: str | None = None, fallback: str = "latest", spark: SparkSession | None = None) -> str:
+    """Spark's startingOffsets: earliest, latest, or, by ``checkpoint``, the last offsets of a checkpoint as JSON; where it has none (or isn't given) the fallback holds."""
     if strategy in ("earliest", "latest"):
         return strategy
     if strategy != "checkpoint":
         raise ValueError(f"no such strategy: {strategy}")
-    return fallback
+    found = last_offsets(spark, checkpoint) if spark is not None and checkpoint else None
+    return json.dumps(found[0]) if found else fallback
+
+
+def clean_checkpoints(spark: SparkSession, base: str, older_than_days: float, now_ms: int | None = None) -> list[str]:
+    """Removes the checkpoints under a folder that nothing has been written to for so many days, and gives their paths; none of a running stream may be among them."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    limit = (int(time.time() * 1000) if now_ms is None else now_ms) - older_than_days * 86_400_000
+    gone = []
+    for s in fs.listStatus(root) if fs.exists(root) else []:
+        parts = fs.listStatus(s.getPath()) if s.isDirectory() else []
+        files = [f for p in parts for f in (fs.listStatus(p.getPath()) if p.isDirectory() else [p])]
+        if parts and max([s.getModificationTime(), *(f.getModificationTime() for f in files)]) < limit:
+            fs.delete(s.getPath(), True)
+            gone.append(str(s.getPath()))
+    return sorted(gone)
 
 
 def checkpoint_stats(query: StreamingQuery) -> dict:

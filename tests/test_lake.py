@@ -1,6 +1,7 @@
 """Sources, sinks, jobs, control and streams, through real folders."""
 
 import json
+import os
 import time
 from datetime import datetime
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillstone import schemas, session
-from rillstone.control import observe
+from rillstone.control import launch, observe
 from rillstone.control.registry import FeatureRegistry, compatible, missing_fields
 from rillstone.control.tracker import PartitionTracker
 from rillstone.operators import features
@@ -213,14 +214,14 @@ def test_bronze_stream_is_exactly_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "dlq")).groupBy("dlq_reason").count().collect()[0][:] == ("invalid_json", 4)
     run()
     assert spark.read.parquet(str(tmp_path / "bronze")).count() == 300
-    assert progress.committed_batches(str(tmp_path / "ck")) == [0, 1, 2] and progress.last_offsets(str(tmp_path / "ck")) and progress.offsets(q) and progress.checkpoint_stats(q)["active"] is False
+    assert progress.committed_batches(spark, str(tmp_path / "ck")) == [0, 1, 2] and progress.last_offsets(spark, str(tmp_path / "ck")) and progress.offsets(q) and progress.checkpoint_stats(q)["active"] is False
     for _ in range(50):
         if heard:
             break
         time.sleep(0.1)
     spark.streams.removeListener(monitor)
     assert heard and monitor.metrics.summary()["counters"]["rows"] >= 304
-    assert progress.last_offsets(str(tmp_path / "none")) is None and progress.starting_offset("checkpoint", fallback="earliest") == "earliest" and progress.stop_all(spark) == []
+    assert progress.last_offsets(spark, str(tmp_path / "none")) is None and progress.starting_offset("checkpoint", fallback="earliest") == "earliest" and progress.stop_all(spark) == []
 
 
 def test_windows_are_the_same_for_tables_and_streams(spark, data, tmp_path):
@@ -257,3 +258,28 @@ def test_backfill_for_some_entities(spark):
     points = df.select("user_id", F.lit(datetime(2024, 1, 2)).alias("as_of"))
     out = jobs.backfill(df, points, features.Events(), entities=points.where("user_id = 'u'").select("user_id"))
     assert [(r["user_id"], r["watch_time_7d"]) for r in out.collect()] == [("u", 5.0)]
+
+
+def test_old_checkpoints_go_and_offsets_are_resumed(spark, tmp_path):
+    for name in ("old", "new"):
+        (tmp_path / name / "offsets").mkdir(parents=True)
+        (tmp_path / name / "offsets" / "3").write_text('v1\n{"batchWatermarkMs":0}\n{"t":{"0":7}}')
+    assert progress.starting_offset("checkpoint", str(tmp_path / "old"), spark=spark) == '{"t": {"0": 7}}'
+    assert progress.starting_offset("checkpoint", str(tmp_path / "none"), "earliest", spark) == "earliest"
+    assert progress.clean_checkpoints(spark, str(tmp_path), 7) == []
+    for p in (*(tmp_path / "old").rglob("*"), tmp_path / "old"):
+        os.utime(p, (1, 1))
+    assert [x.rsplit("/", 1)[1] for x in progress.clean_checkpoints(spark, str(tmp_path), 7)] == ["old"] and (tmp_path / "new").exists()
+
+
+def test_launcher(spark, tmp_path):
+    silver = spark.sql("SELECT * FROM VALUES ('e1', 'video_play_start', 'u1', TIMESTAMP '2024-01-03 10:00:00', 5.0, 'v1'), ('e2', 'video_play_start', 'u1', TIMESTAMP '2024-01-04 11:00:00', 6.0, 'v2') AS t(event_id, event_type, user_id, event_timestamp, play_position_seconds, video_id)")
+    silver = silver.withColumns({"event_date": F.date_format("event_timestamp", "yyyy-MM-dd"), "event_hour": F.hour("event_timestamp")})
+    silver.write.partitionBy("event_date", "event_type").parquet(str(tmp_path / "silver"))
+    assert launch.launch(["backfill", "--input", str(tmp_path / "silver"), "--output", str(tmp_path / "points"), "--start", "2024-01-04", "--end", "2024-01-05"], spark) == 2
+    assert launch.launch(["backfill", "--input", str(tmp_path / "silver"), "--output", str(tmp_path / "points"), "--end", "2024-01-05", "--attempts", "2"], spark) == 0
+    assert [(str(x["as_of"])[:10], x["total_events"]) for x in spark.read.parquet(str(tmp_path / "points")).orderBy("as_of").collect()] == [("2024-01-04", 1), ("2024-01-05", 2)]
+    for bad in (["gold", "--input", "x"], ["none"]):
+        with pytest.raises(SystemExit):
+            launch.parser().parse_args(bad)
+    assert launch.parser().parse_args(["silver", "--input", "a", "--output", "b", "--dead-letters", "c", "--last-date", "2024-01-01"]).last_hour is None
