@@ -7,8 +7,8 @@ What a message quotes at level k + 1, the message that it answers has at level
 k (its own text is level 0): the passages of all levels are joined to those of
 earlier messages, and the one that holds most of them is the one answered; of
 equals the one that holds most of the single lines quoted, for passages quoted
-in part, then the latest. A passage or line that more than HOLDERS earlier
-messages have ("Thanks.") counts for the latest of these alone.
+in part, then the latest. A passage or line counts for every earlier message
+that has it, however many these are ("Thanks.").
 
 Conversations are then rebuilt in reply order, answers after what they answer,
 without the quotes. Parsing is a pass over batches of bytes; then one shuffle
@@ -19,6 +19,7 @@ is joined and ordered.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from rillstone.llm import _tokens as T
 from rillstone.llm._common import runs, slices
 
-#: A passage that more earlier messages of its conversation have counts for the latest of them alone.
+#: Where more earlier messages have a passage, votes are counted in arrays; this affects cost only.
 HOLDERS = 8
 #: Texts are parsed and passed on in parts of about so many bytes; arrays of a part take some 30 times as many.
 BATCH_BYTES = 1 << 20
@@ -144,17 +145,33 @@ def parse(messages: DataFrame) -> DataFrame:
 
 def _linked(rows: list[dict]) -> None:
     """Gives each message of a conversation, in order of turns, the turn that it answers as ``parent``."""
-    holders: dict[int, list[int]] = {}
-    for r in rows:
+    holders: dict[int, array] = {}
+    for at, r in enumerate(rows):
+        held = [[holders[k] for k in keys if k in holders] for keys in (r["asks"], r["asks_lines"])]
+        best = _most(*held) if held[0] or held[1] else None
+        r["parent"] = None if best is None else rows[best]["turn"]
+        for key in {*r["offers"], *r["offers_lines"]}:
+            holders.setdefault(key, array("q")).append(at)
+
+
+def _most(passages: list[array], lines: list[array]) -> int:
+    """The row that most passages name; of equals the one that most lines name, then the last. Each names a row once, in order."""
+    if len(passages) + len(lines) == 1:
+        return (passages or lines)[0][-1]
+    if all(len(x) <= HOLDERS for x in (*passages, *lines)):
         votes: dict[int, list[int]] = {}
-        for kind, keys in enumerate((r["asks"], r["asks_lines"])):
-            for key in keys:
-                held = holders.get(key, ())
-                for source in held if len(held) <= HOLDERS else held[-1:]:
+        for kind, held in enumerate((passages, lines)):
+            for x in held:
+                for source in x:
                     votes.setdefault(source, [0, 0])[kind] += 1
-        r["parent"] = max(votes, key=lambda s: (votes[s], s)) if votes else None
-        for key in (*r["offers"], *r["offers_lines"]):
-            holders.setdefault(key, []).append(r["turn"])
+        return max(votes, key=lambda s: (votes[s], s))
+    size = max(x[-1] for x in (*passages, *lines)) + 1
+    rows = np.arange(size)
+    for held in (passages, lines):
+        if held:
+            count = np.bincount(np.concatenate([np.frombuffer(x, np.int64) for x in held]), minlength=size)[rows]
+            rows = rows[count == count.max()]
+    return int(rows[-1])
 
 
 def _order(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from rillstone.llm import _tokens as T
@@ -47,6 +49,23 @@ def test_a_line_that_many_repeat_costs_its_number(spark):
     assert [r["parent"] for r in rows] == [None, *range(19_999)]
 
 
+def test_passages_that_many_hold_count_for_each_of_them(spark):
+    found = parents(spark, "alpha\n\nThanks.", "alpha", *["Thanks."] * 12, "> alpha\n>\n> Thanks.\nfrom the first, which holds both")
+    assert found == {**{k: None for k in range(14)}, 14: 0}
+
+
+def test_links_are_those_of_all_votes():
+    r = random.Random(3)
+    for _ in range(30):
+        some = lambda a, b: sorted({min(int(r.expovariate(0.3)), 30) + a for _ in range(r.randrange(b))})
+        rows = [{"turn": 3 * i, "asks": some(0, 5), "asks_lines": some(100, 5), "offers": some(0, 5), "offers_lines": some(100, 5)} for i in range(60)]
+        Q._linked(rows)
+        for i, x in enumerate(rows):
+            votes = [(len({*x["asks"]} & {*y["offers"]}), len({*x["asks_lines"]} & {*y["offers_lines"]}), y["turn"]) for y in rows[:i]]
+            best = max(votes, default=(0, 0, 0))
+            assert x["parent"] == (best[2] if best[:2] > (0, 0) else None)
+
+
 def test_threads_are_rebuilt(spark):
     rows = [
         (1, 0, "user", "What is a shuffle?\nAnd why?"),
