@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, DateType, MapType, NumericType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import ArrayType, DataType, DateType, IntegralType, MapType, NumericType, StringType, StructField, StructType, TimestampType
 
 from rillstone import schemas
 from rillstone.functions import text
@@ -12,6 +12,10 @@ from rillstone.schemas import ddl
 
 CORRUPT = "_corrupt_record"
 
+_DIGITS = r"\d+(?:_\d+)*"
+#: Text that SQL reads as an integer: 12, 1_000, 56., .5, 1e3, 0x1F, 0b11; white space around it is passed over.
+_INTEGER = rf"\A[ \t\n\x0B\f\r]*([+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?\d{{1,4}})?|0[xX][0-9a-fA-F]+(?:_[0-9a-fA-F]+)*|0[bB][01]+(?:_[01]+)*)[ \t\n\x0B\f\r]*\z"
+
 
 def parse_messages(df: DataFrame, schema: StructType = schemas.RAW, value: str = "value") -> DataFrame:
     """Kafka rows as columns of their JSON, with where they came from; ``parse_error`` says what a bad one lacks.
@@ -63,6 +67,14 @@ def map_columns(df: DataFrame, name: str, keys: list[str], prefix: str = "") ->
     return df.withColumns({f"{prefix}{k}": F.element_at(name, F.lit(k)) for k in keys}).drop(name)
 
 
+def _integer(c: Column, target: DataType) -> Column:
+    """Text as an integer, as SQL reads it: fractions are rounded, halves away from zero; null beyond the type's range."""
+    plain = F.replace(F.regexp_extract(c, _INTEGER, 1), F.lit("_"))
+    base = lambda prefix, digits, base, most: F.conv(F.nullif(F.regexp_extract(plain, rf"\A0[{prefix}]0*([{digits}]{{1,{most}}})\z", 1), F.lit("")), base, 10)
+    number = F.when(plain.rlike(r"\A0[xX]"), base("xX", "0-9a-fA-F", 16, 16)).when(plain.rlike(r"\A0[bB]"), base("bB", "01", 2, 64)).otherwise(plain)
+    return number.try_cast("decimal(38,0)").try_cast(target)
+
+
 def safe_cast(c: Column, source: DataType, target: DataType) -> Column:
     """A cast that gives null for what can't be read. Digits read as epoch milliseconds where a time is wanted; NaN becomes null; fields of structs are matched by name."""
     if source == target:
@@ -81,7 +93,7 @@ def safe_cast(c: Column, source: DataType, target: DataType) -> Column:
     if isinstance(source, (StructType, ArrayType, MapType)) and isinstance(target, StringType):
         return F.to_json(c)
     if isinstance(source, StringType):
-        return F.trim(c).try_cast(target)
+        return _integer(c, target) if isinstance(target, IntegralType) else F.trim(c).try_cast(target)
     if source.simpleString() in ("double", "float") and isinstance(target, NumericType):
         return F.when(~F.isnan(c), c).try_cast(target)
     return c.try_cast(target)

@@ -65,7 +65,8 @@ def schema_conform(spark, d):
 
 @query("SELECT doc_id, TRY_CAST(trim(left(text, 4)) AS INTEGER) AS number, TRY_CAST(source[4:] AS BIGINT) AS source_number, TRY_CAST(CASE WHEN doc_id % 2 = 0 THEN '2024-01-0' || CAST(doc_id % 9 + 1 AS VARCHAR) ELSE lang END AS DATE) AS day FROM documents")
 def safe_casts(spark, d):
-    df = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 4).alias("number"), F.substring("source", 4, 20).alias("source_number"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("2024-01-0"), (F.col("doc_id") % 9 + 1).cast("string"))).otherwise(F.col("lang")).alias("day"))
+    start = F.regexp_replace(F.substring("text", 1, 4), r"^\p{Zs}+|\p{Zs}+$", "")
+    df = table(spark, d, "documents").select("doc_id", start.alias("number"), F.expr("substring(source, 4)").alias("source_number"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("2024-01-0"), (F.col("doc_id") % 9 + 1).cast("string"))).otherwise(F.col("lang")).alias("day"))
     return parse.cast_columns(df, {"number": "INT", "source_number": "BIGINT", "day": "DATE"})
 
 

@@ -2,9 +2,11 @@
 
 from datetime import date, datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from rillstone import schemas
 from rillstone.functions import pii, text, vectors
 from rillstone.operators import dedup, embeddings, features, joins, parse, quality, rules, stats
@@ -42,6 +44,13 @@ def test_safe_casts(spark, value, kind, target, want):
     assert parse.cast_columns(df, {"x": target, "missing": "INT"}).first()["x"] == want
 
 
+@pytest.mark.parametrize("start,source,want", [("56.187", "web12", (56, 12)), ("-2.5", "web1e3", (-3, 1000)), (".4", "web0x1F", (0, 31)), ("\u00a01_0\n", "web\u00a01", (10, None)), ("1e-1", "web" + "0" * 30 + "7", (0, 7)), ("0b11", "web0xffffffffffffffffff", (3, None)), ("1e99", "web9223372036854775807.5", (None, None)), ("\x001", "web1__0", (None, None))])
+def test_safe_casts_read_numbers_as_sql_does(spark, tmp_path, start, source, want):
+    spark.createDataFrame([(1, start, source, "en")], "doc_id BIGINT, text STRING, source STRING, lang STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    oracle = duckdb.sql(entry.oracle_sql()["safe_casts"].replace("documents", f"'{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    assert rows(entry.queries()["safe_casts"](spark, str(tmp_path))) == oracle == [(1, *want, None)]
+
+
 def test_conform_makes_typed_nulls(spark):
     out = parse.conform(spark.sql("SELECT '5' AS a, 1 AS extra"), ddl("a INT, s STRUCT<x: STRING>, l ARRAY<STRING>"))
     assert out.schema.simpleString() == "struct<a:int,s:struct<x:string>,l:array<string>>" and rows(out) == [(5, None, None)]
