@@ -1,15 +1,35 @@
-"""Statistics, scores and scaling; each is one pass over the table, or two where values are compared with totals."""
+"""Statistics, scores and scaling; each is one pass over the table, two where values are compared with totals, and three more for exact percentiles."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a group that one task may hold. Groups of more are few, so what is known of them is broadcast.
+GROUP = 1_000_000
+
 
 def _q(c: str) -> Column:
     return F.col(f"`{c}`").cast("double")
 
 
+def _match(df: DataFrame, groups: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """df with its group's row, which is broadcast; null is a key like others."""
+    if not by:
+        return df.crossJoin(F.broadcast(groups))
+    keys = {c: f"__key{i}" for i, c in enumerate(by)}
+    same = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(k)) for c, k in keys.items()])
+    return df.join(F.broadcast(groups.withColumnsRenamed(keys)), same, how).drop(*keys.values())
+
+
+def by_size(df: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """df's rows of groups of more than ``GROUP`` rows, and the rest."""
+    large = df.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") > GROUP).select(*by)
+    return _match(df, large, by, "left_semi"), _match(df, large, by, "left_anti")
+
+
 def basic(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     aggs = [f(_q(c)).alias(f"{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("stddev", F.stddev_samp), ("min", F.min), ("max", F.max))]
     return df.groupBy(*(by or [])).agg(*aggs)
@@ -26,22 +46,27 @@ def percentiles(df: DataFrame, columns: list[str], points=(0.25, 0.5, 0.75, 0.95
 
 
 def z_scores(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
-    """df with ``{c}_zscore``, within groups if there are any; 0 where the deviation is 0 or null, and for nulls."""
-    if by:
-        w = Window.partitionBy(*by)
-        made = {f"{c}_zscore": _score(_q(c), F.avg(_q(c)).over(w), F.stddev_samp(_q(c)).over(w)) for c in columns}
-        return df.withColumns(made)
-    return _scaled(df, columns, {"m": F.avg, "s": F.stddev_samp}, lambda x, t: _score(x, t("m"), t("s")), "zscore")
+    """df with ``{c}_zscore``, within groups if there are any; 0 where the deviation is 0 or null, and for nulls. Rows of large groups stay where they are, and their totals go to them."""
+    way = ({"m": F.avg, "s": F.stddev_samp}, lambda x, t: _score(x, t("m"), t("s")), "zscore")
+    if not by:
+        return _scaled(df, columns, *way)
+    large, rest = by_size(df, by)
+    w = Window.partitionBy(*by)
+    return _scaled(large, columns, *way, by=by).union(rest.withColumns({f"{c}_zscore": _score(_q(c), F.avg(_q(c)).over(w), F.stddev_samp(_q(c)).over(w)) for c in columns}))
 
 
 def _score(x: Column, centre: Column, width: Column) -> Column:
     return F.coalesce(F.try_divide(x - centre, F.nullif(width, F.lit(0.0))), F.lit(0.0))
 
 
-def _scaled(df, columns, totals, formula, suffix) -> DataFrame:
-    one = df.agg(*[f(_q(c)).alias(f"__{c}_{n}") for c in columns for n, f in totals.items()])  # a single row
+def _scaled(df, columns, totals, formula, suffix, by=()) -> DataFrame:
+    one = df.groupBy(*by).agg(*[f(_q(c)).alias(f"__{c}_{n}") for c in columns for n, f in totals.items()])  # a row for each group
+    return _apply(df, one, columns, formula, suffix, list(by))
+
+
+def _apply(df, one, columns, formula, suffix, by) -> DataFrame:
     made = {f"{c}_{suffix}": formula(_q(c), lambda n, c=c: F.col(f"`__{c}_{n}`")) for c in columns}
-    return df.crossJoin(F.broadcast(one)).withColumns(made).drop(*one.columns)
+    return _match(df, one, by).withColumns(made).drop(*[c for c in one.columns if c not in by])
 
 
 def _percentiles(x: Column, points: tuple[float, ...], exact: bool) -> Column:

@@ -262,6 +262,18 @@ def test_degenerate_columns_score_zero(spark):
         stats.normalize(df, ["c"], "other")
 
 
+def test_scores_of_large_groups_leave_no_group_to_one_task(spark, monkeypatch):
+    df = spark.createDataFrame([(i, float(i * i % 101), "large" if i % 3 else None) for i in range(300)] + [(300 + i, 7.0 + i % 2, "small") for i in range(5)] + [(305, 1.0, "one"), (306, None, "small")], "id INT, x DOUBLE, g STRING")
+    want = rows(stats.z_scores(df, ["x"], ["g"]), "id")
+    monkeypatch.setattr(stats, "GROUP", 50)
+    got = stats.z_scores(df, ["x"], ["g"])
+    assert got.columns == ["id", "x", "g", "x_zscore"] and [r[:3] for r in rows(got, "id")] == [r[:3] for r in want] and [r[3] for r in rows(got, "id")] == pytest.approx([r[3] for r in want])
+    large, rest = stats.by_size(df, ["g"])
+    assert large.groupBy("g").count().count() == 2 and large.count() == 300 and rest.count() == 7
+    monkeypatch.setattr(stats, "GROUP", 0)
+    assert [r[3] for r in rows(stats.z_scores(df, ["x"], ["g"]), "id")] == pytest.approx([r[3] for r in want])
+
+
 def test_reports(spark):
     df = spark.createDataFrame([(float(i % 10), 1.0, None if i < 30 else 2.0) for i in range(100)] + [(1000.0, 1.0, float("nan"))], "a DOUBLE, b DOUBLE, c DOUBLE")
     report = {r["feature"]: r for r in quality.quality_report(df, ["a", "b", "c"], df).collect()}
