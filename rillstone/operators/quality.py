@@ -5,38 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillstone.operators import stats
+
 POINTS = (0.25, 0.5, 0.75, 0.95)
 
 
-def profile(df: DataFrame, features: list[str], exact: bool = False) -> DataFrame:
+def profile(df: DataFrame, features: list[str], exact: bool = False, points: tuple[float, ...] = POINTS) -> DataFrame:
     """(feature, n, present, mean, std, low, high, q25, q50, q75, q95): one pass; NaN counts as null.
 
     Percentiles are of a sketch of bounded size, right to a rank in ten
-    thousand; exact ones hold a count of every distinct value in one task, so
-    they are for tables of moderate size.
+    thousand; exact ones take three passes more (see ``stats.quantiles``).
+    Other points have columns named like these; none cost nothing.
     """
-    points = F.array(*map(F.lit, POINTS))
+    values = {f"q{i}": F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")) for i, c in enumerate(features)}
+    sketched = bool(points) and not exact
     aggs = [F.count("*").alias("n")]
-    for i, c in enumerate(features):
-        x = F.col(f"`{c}`").cast("double")
-        x = F.when(~F.isnan(x), x)
-        aggs.append(F.struct(F.lit(c).alias("feature"), F.count(x).alias("present"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("low"), F.max(x).alias("high"), (F.percentile(x, points) if exact else F.percentile_approx(x, points, F.lit(10_000))).alias("q")).alias(f"f{i}"))
+    for i, x in enumerate(values.values()):
+        aggs.append(F.struct(F.count(x).alias("present"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("low"), F.max(x).alias("high")).alias(f"f{i}"))
+        if sketched:
+            aggs.append(F.percentile_approx(x, list(points), F.lit(10_000)).alias(f"q{i}"))
     one = df.agg(*aggs)
-    rows = one.select("n", F.explode(F.array(*[f"f{i}" for i in range(len(features))])).alias("f"))
-    return rows.select("f.feature", "n", "f.present", "f.mean", "f.std", "f.low", "f.high", *[F.col("f.q")[i].alias(f"q{round(p * 100)}") for i, p in enumerate(POINTS)])
+    if points and exact:
+        one = one.crossJoin(F.broadcast(stats.quantiles(df, values, points)))
+    rows = one.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"f{i}").alias("f"), *([F.col(f"q{i}").alias("q")] if points else [])) for i, c in enumerate(features)])).alias("x"))
+    return rows.select("x.feature", "n", "x.f.*", *[F.col("x.q")[i].alias(f"q{round(p * 100)}") for i, p in enumerate(points)])
 
 
 def outside(df: DataFrame, profiled: DataFrame, features: list[str], low: Column, high: Column) -> DataFrame:
-    """(feature, outliers): rows beyond bounds made from the profile's columns; one pass, the profile is a row for each feature."""
-    bounds = profiled.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct(low.alias("low"), high.alias("high"))))).alias("__b"))
-    counted = df.crossJoin(F.broadcast(bounds)).agg(*[F.count_if((F.col(f"`{c}`") < F.element_at("__b", F.lit(c))["low"]) | (F.col(f"`{c}`") > F.element_at("__b", F.lit(c))["high"])).alias(f"c{i}") for i, c in enumerate(features)])
-    return counted.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"c{i}").alias("outliers")) for i, c in enumerate(features)])).alias("x")).select("x.*")
+    """The profile with ``outliers``, the rows beyond bounds made from its columns; one pass, in which the profile goes along, so that it isn't made twice."""
+    of = lambda c, x: F.max(F.when(F.col("feature") == c, x))
+    bounds = profiled.agg(F.collect_list(F.struct(*profiled.columns)).alias("__p"), *[of(c, x).alias(f"__{n}{i}") for i, c in enumerate(features) for n, x in (("low", low), ("high", high))])
+    beyond = [F.count_if((F.col(f"`{c}`") < F.col(f"__low{i}")) | (F.col(f"`{c}`") > F.col(f"__high{i}"))).alias(f"c{i}") for i, c in enumerate(features)]
+    counted = df.crossJoin(F.broadcast(bounds)).agg(F.any_value("__p").alias("p"), *beyond)
+    row = lambda c: F.get(F.filter("p", lambda f: f["feature"] == c), F.lit(0))
+    rows = counted.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), row(c).alias("p"), F.col(f"c{i}").alias("outliers")) for i, c in enumerate(features)])).alias("x"))
+    kept = [F.coalesce(F.col(f"x.p.{c}"), F.lit(0).cast("long")).alias(c) if c in ("n", "present") else F.col(f"x.p.{c}") for c in profiled.columns if c != "feature"]  # a table without rows has no profile
+    return rows.select("x.feature", *kept, "x.outliers")
 
 
 def anomalies(df: DataFrame, features: list[str], method: str = "iqr", width: float | None = None, exact: bool = False) -> DataFrame:
     """(feature, present, outliers, share): beyond 1.5 quartile ranges, or beyond 3 standard deviations."""
-    p = profile(df, features, exact)
-    c = F.col
+    c, points = F.col, (0.25, 0.75)
     if method == "iqr":
         k = 1.5 if width is None else width
         low, high = c("q25") - k * (c("q75") - c("q25")), c("q75") + k * (c("q75") - c("q25"))
@@ -45,7 +54,7 @@ def anomalies(df: DataFrame, features: list[str], method: str = "iqr", width: fl
         low, high = c("mean") - k * c("std"), c("mean") + k * c("std")
     else:
         raise ValueError(f"no such method: {method}")
-    return p.join(F.broadcast(outside(df, p, features, low, high)), "feature").select("feature", "present", "outliers", F.coalesce(F.try_divide(c("outliers"), c("present")), F.lit(0.0)).alias("share"))  # one row for each feature
+    return outside(df, profile(df, features, exact, points), features, low, high).select("feature", "present", "outliers", F.coalesce(F.try_divide(c("outliers"), c("present")), F.lit(0.0)).alias("share"))
 
 
 def change(now: Column, before: Column) -> Column:
@@ -73,9 +82,8 @@ def steps(x: Column, bounds: list[tuple[float, float]], last: float) -> Column:
 def quality_report(df: DataFrame, features: list[str], reference: DataFrame | None = None, threshold: float = 0.8, exact: bool = False) -> DataFrame:
     """(feature, null_score, outlier_score, distribution_score, drift_score, overall, ok); without a reference nothing has drifted."""
     c = F.col
-    p = profile(df, features, exact)
     spread = c("q75") - c("q25")
-    report = p.join(F.broadcast(outside(df, p, features, c("q25") - 1.5 * spread, c("q75") + 1.5 * spread)), "feature")  # one row for each feature
+    report = outside(df, profile(df, features, exact), features, c("q25") - 1.5 * spread, c("q75") + 1.5 * spread)
     if reference is None:
         report = report.withColumn("shift", F.lit(0.0))
     else:
@@ -97,7 +105,7 @@ def quality_report(df: DataFrame, features: list[str], reference: DataFrame | No
 
 def score_rows(df: DataFrame, features: list[str], exact: bool = False) -> DataFrame:
     """df with null_share and outlier_share, of the row's features, and row_quality, 1 less half of either; the quartiles are a broadcast row for each feature."""
-    p = profile(df, features, exact)
+    p = profile(df, features, exact, (0.25, 0.75))
     spread = F.col("q75") - F.col("q25")
     bounds = p.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct((F.col("q25") - 1.5 * spread).alias("low"), (F.col("q75") + 1.5 * spread).alias("high"))))).alias("__b"))
     x = lambda c: F.col(f"`{c}`").cast("double")

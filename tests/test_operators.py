@@ -274,6 +274,59 @@ def test_scores_of_large_groups_leave_no_group_to_one_task(spark, monkeypatch):
     assert [r[3] for r in rows(stats.z_scores(df, ["x"], ["g"]), "id")] == pytest.approx([r[3] for r in want])
 
 
+def test_exact_quantiles_hold_no_count_of_all_values(spark):
+    spike = lambda i: 5.0 if i % 10 < 6 else float(i)
+    data = [(f"g{i % 3}" if i % 3 else None, float(i * 7919 % 6007) / 4 - 500, spike(i), None if i % 2 else -float(i % 4), float("nan") if i % 5 == 0 else float("inf") if i % 7 == 0 else float(i), None) for i in range(6000)]
+    df = spark.createDataFrame([*data, ("single", -0.5, 1e300, -1e-300, 2.0, None), ("empty", None, None, None, None, None)], "g STRING, a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE, e DOUBLE")
+    points, columns = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0), "abcde"
+    for by in ([], ["g"]):
+        for table in (df, df.where("a IS NULL"), df.where("false")):
+            want = table.groupBy(*by).agg(*[F.percentile(c, F.array(*map(F.lit, points))).alias(c) for c in columns])
+            got = stats.quantiles(table, {c: F.col(c) for c in columns}, points, by)
+            assert "percentile(" not in got._jdf.queryExecution().optimizedPlan().toString()
+            key = lambda r: repr(r[0])
+            for a, b in zip(sorted(rows(got), key=key), sorted(rows(want), key=key), strict=True):
+                assert a[: len(by)] == b[: len(by)]
+                for x, y in zip(a[len(by) :], b[len(by) :]):
+                    assert (x is None) == (y is None) and (x is None or x == pytest.approx(y, nan_ok=True))
+
+
+def test_exact_quantiles_are_right_whatever_the_sketch_says(spark, monkeypatch):
+    monkeypatch.setattr(stats, "ACCURACY", 2)
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).cast("double").alias("x"))
+    assert stats.quantiles(df, {"x": F.col("x")}, (0.1, 0.5, 0.99)).first() == df.agg(F.percentile("x", F.array(*map(F.lit, (0.1, 0.5, 0.99))))).first()
+
+
+def test_statistics_of_large_groups_are_those_of_small_ones(spark, monkeypatch):
+    df = spark.createDataFrame([(float(i * i % 977), i % 3 and "large" or None) for i in range(600)] + [(1.0, "small"), (4.0, "small"), (None, "none")], "x DOUBLE, g STRING")
+    made = [lambda: stats.percentiles(df, ["x"], by=["g"]), lambda: stats.distribution(df, ["x"], ["g"])]
+    want = [sorted(rows(f()), key=repr) for f in made]
+    monkeypatch.setattr(stats, "GROUP", 100)
+    for f, before in zip(made, want):
+        for a, b in zip(sorted(rows(f()), key=repr), before, strict=True):
+            assert a[0] == b[0] and a[1:] == pytest.approx(b[1:])
+
+
+REPORTS = {
+    "profile": lambda df, old: quality.profile(df, ["x"], exact=True),
+    "iqr": lambda df, old: quality.anomalies(df, ["x"], exact=True),
+    "zscore": lambda df, old: quality.anomalies(df, ["x"], "zscore", exact=True),
+    "drift": lambda df, old: quality.drift(df, old, ["x"], exact=True),
+    "quality": lambda df, old: quality.quality_report(df, ["x"], old, exact=True),
+    "monitor": lambda df, old: quality.monitor(df, ["x"], exact=True),
+    "rows": lambda df, old: quality.score_rows(df, ["x"], exact=True),
+}
+
+
+@pytest.mark.parametrize("name,scans", [("profile", 4), ("iqr", 5), ("monitor", 6), ("rows", 5)])
+def test_exact_reports_make_a_profile_once_and_count_no_values_in_one_task(spark, data, name, scans):
+    df = spark.read.parquet(f"{data}/lineitem.parquet").select(F.col("l_extendedprice").alias("x"))
+    plan = REPORTS[name](df, df)._jdf.queryExecution()
+    assert "percentile(" not in plan.optimizedPlan().toString() and plan.executedPlan().toString().count("FileScan") <= scans
+    if name == "zscore":
+        assert "percentile" not in plan.optimizedPlan().toString()
+
+
 def test_reports(spark):
     df = spark.createDataFrame([(float(i % 10), 1.0, None if i < 30 else 2.0) for i in range(100)] + [(1000.0, 1.0, float("nan"))], "a DOUBLE, b DOUBLE, c DOUBLE")
     report = {r["feature"]: r for r in quality.quality_report(df, ["a", "b", "c"], df).collect()}
