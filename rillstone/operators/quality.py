@@ -45,8 +45,9 @@ def outside(df: DataFrame, profiled: DataFrame, features: list[str], low: Column
 
 def anomalies(df: DataFrame, features: list[str], method: str = "iqr", width: float | None = None, exact: bool = False) -> DataFrame:
     """(feature, present, outliers, share): beyond 1.5 quartile ranges, or beyond 3 standard deviations."""
-    c, points = F.col, (0.25, 0.75)
+    c, points = F.col, ()
     if method == "iqr":
+        points = (0.25, 0.75)
         k = 1.5 if width is None else width
         low, high = c("q25") - k * (c("q75") - c("q25")), c("q75") + k * (c("q75") - c("q25"))
     elif method == "zscore":
