@@ -65,7 +65,7 @@ def change(now: Column, before: Column) -> Column:
 
 def drift(current: DataFrame, reference: DataFrame, features: list[str], threshold: float = 0.1, exact: bool = False) -> DataFrame:
     """(feature, mean_change, std_change, median_change, drift, drifted): relative changes against the reference and their mean."""
-    a, b = profile(current, features, exact).alias("a"), profile(reference, features, exact).alias("b")
+    a, b = profile(current, features, exact, (0.5,)).alias("a"), profile(reference, features, exact, (0.5,)).alias("b")
     pairs = (("mean", "mean_change"), ("std", "std_change"), ("q50", "median_change"))
     joined = a.join(F.broadcast(b), "feature").select("feature", *[F.coalesce(change(F.col(f"a.{x}"), F.col(f"b.{x}")), F.lit(0.0)).alias(n) for x, n in pairs])  # one row for each feature
     score = (F.col("mean_change") + F.col("std_change") + F.col("median_change")) / 3
