@@ -84,12 +84,13 @@ def quality_report(df: DataFrame, features: list[str], reference: DataFrame | No
     """(feature, null_score, outlier_score, distribution_score, drift_score, overall, ok); without a reference nothing has drifted."""
     c = F.col
     spread = c("q75") - c("q25")
-    report = outside(df, profile(df, features, exact), features, c("q25") - 1.5 * spread, c("q75") + 1.5 * spread)
+    report = outside(df, profile(df, features, exact, (0.25, 0.5, 0.75)), features, c("q25") - 1.5 * spread, c("q75") + 1.5 * spread)
     if reference is None:
         report = report.withColumn("shift", F.lit(0.0))
     else:
-        moved = drift(df, reference, features, exact=exact).select("feature", ((c("mean_change") + c("std_change")) / 2).alias("shift"))
-        report = report.join(F.broadcast(moved), "feature")
+        earlier = profile(reference, features, points=()).select("feature", c("mean").alias("mean_before"), c("std").alias("std_before"))
+        moved = [F.coalesce(change(c(x), c(f"{x}_before")), F.lit(0.0)) for x in ("mean", "std")]
+        report = report.join(F.broadcast(earlier), "feature").withColumn("shift", (moved[0] + moved[1]) / 2)  # one row for each feature
     nulls = F.greatest(F.lit(0.0), 1 - 2 * (1 - F.coalesce(F.try_divide(c("present"), c("n")), F.lit(0.0))))
     beyond = F.coalesce(F.try_divide(c("outliers"), c("present")), F.lit(0.0))
     skew = F.abs(c("mean") - c("q50")) / F.nullif(c("std"), F.lit(0.0))

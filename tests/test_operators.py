@@ -318,7 +318,7 @@ REPORTS = {
 }
 
 
-@pytest.mark.parametrize("name,scans", [("profile", 4), ("iqr", 5), ("zscore", 2), ("drift", 8), ("monitor", 6), ("rows", 5)])
+@pytest.mark.parametrize("name,scans", [("profile", 4), ("iqr", 5), ("zscore", 2), ("drift", 8), ("quality", 6), ("monitor", 6), ("rows", 5)])
 def test_exact_reports_make_a_profile_once_and_count_no_values_in_one_task(spark, data, name, scans):
     df = spark.read.parquet(f"{data}/lineitem.parquet").select(F.col("l_extendedprice").alias("x"))
     plan = REPORTS[name](df, df)._jdf.queryExecution()
